@@ -36,7 +36,7 @@ def parse_number(c: Column | str) -> Column:
     Infinite values count as unparsable.
     """
     s = decimal_text(c)
-    v = F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
+    v = F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double"))
     return F.when(F.abs(v) < F.lit(_INF), v)
 
 

@@ -98,12 +98,13 @@ def project_2000_to_1992(df: DataFrame, northing: str, easting: str, zone: str,
     for j, a in enumerate(ALPHA, start=1):
         n_sum = n_sum + _lit(a) * F.sin(_lit(2 * j) * xf) * F.cosh(_lit(2 * j) * ef)
         e_sum = e_sum + _lit(a) * F.cos(_lit(2 * j) * xf) * F.sinh(_lit(2 * j) * ef)
-    out = staged.withColumns({
-        out_e: _finite(_lit(FE_1992) + _lit(k0a_dst) * e_sum),
-        out_n: _finite(_lit(FN_1992) + _lit(k0a_dst) * n_sum),
+    staged = staged.withColumns({
+        "__e_raw": _lit(FE_1992) + _lit(k0a_dst) * e_sum,
+        "__n_raw": _lit(FN_1992) + _lit(k0a_dst) * n_sum,
     })
+    out = staged.withColumns({out_e: _finite(F.col("__e_raw")), out_n: _finite(F.col("__n_raw"))})
     return out.drop("__xi", "__eta", "__shift", "__xip", "__etap", "__chi", "__dlam",
-                    "__xf", "__ef")
+                    "__xf", "__ef", "__e_raw", "__n_raw")
 
 
 def project_point(northing: float, easting: float, zone: int) -> tuple[float, float]:
