@@ -9,13 +9,16 @@ Plan.  Space is cut into square cells of side ``s``.  Every point within ``s``
 of a left point lies in the 3x3 block of cells around it, so each right point
 is copied to the nine cells whose block contains it and the two tables are
 equi-joined on the cell key (a hash-partitioned shuffle join; no nested loop,
-no cartesian product).  The per-row minimum is taken right after the join on
-the same partitioning, so the only shuffles are the two join inputs.
+no cartesian product).  The join is an inner join so that AQE may split a
+skewed cell on either side; candidates are reduced per left key (partial
+aggregation before the shuffle) and the best one is joined back to the left
+rows.  Only narrow rows (key, distance, right point) are aggregated.
 
 * Exact coordinate duplicates on the right collapse to the smallest id
   before the join (a map-side-combined aggregate); they cannot win anyway.
-* Dense data: cells start small (about the mean spacing of the right points)
-  and grow four-fold per round.  A row whose best candidate is within the
+* Dense data: when a single round at ``max_distance`` would give more than
+  ``DENSE_CANDIDATES`` candidates per left row, cells start small (about 16
+  candidates per row) and grow four-fold per round.  A row whose best candidate is within the
   current cell size is final; only the others go to the next round.  Rounds
   are separated by reliable checkpoints.
 * Hot cells: cells with more than ``skew_rows`` rows on either side are
@@ -41,6 +44,7 @@ from ..functions.geometry import distance
 MAX_HOT_CELLS = 10_000
 DEFAULT_SKEW_ROWS = 2_000_000
 GROWTH = 4.0
+DENSE_CANDIDATES = 256.0
 
 _OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -61,23 +65,26 @@ def _as_list(v: str | Sequence[str]) -> list[str]:
 def cell_schedule(max_distance: float, right_count: int, right_area: float) -> list[float]:
     """Cell sizes of the rounds.
 
-    The first size is the mean spacing of the right points (about nine
-    candidates per left row in the 3x3 block); it grows four-fold up to
-    ``max_distance``.  A single round is used when the first size is already
-    within a factor two of the limit.
+    Expected candidates per left row in a 3x3 block of side-``s`` cells are
+    ``9 * s**2 * density``.  When that stays below ``DENSE_CANDIDATES`` at
+    ``max_distance`` one round is used; otherwise the first cell holds about
+    16 candidates and sizes grow four-fold up to ``max_distance``.  Without a
+    limit (``max_distance == 0``) the rounds start the same way and continue
+    until every row is resolved.
     """
-    spacing = math.sqrt(right_area / right_count) if right_count > 0 and right_area > 0 else 0.0
+    density = right_count / right_area if right_count > 0 and right_area > 0 else 0.0
+    first = math.sqrt(16.0 / (9.0 * density)) if density > 0 else 1.0
     if max_distance > 0:
-        if spacing <= 0 or spacing * 2 >= max_distance:
+        if density <= 0 or 9.0 * max_distance ** 2 * density <= DENSE_CANDIDATES or first * 2 >= max_distance:
             return [float(max_distance)]
-        s = max(spacing, max_distance / 256.0)
+        s = max(first, max_distance / 256.0)
         sizes = []
         while s * 2 < max_distance:
             sizes.append(s)
             s *= GROWTH
         sizes.append(float(max_distance))
         return sizes
-    return [spacing if spacing > 0 else 1.0]
+    return [first]
 
 
 def _right_points(right: DataFrame, rid: str, rx: str, ry: str, payload: list[str]) -> DataFrame:
@@ -89,32 +96,41 @@ def _right_points(right: DataFrame, rid: str, rx: str, ry: str, payload: list[st
                     *[F.col(f"__r.p{n}").alias(f"__rp{n}") for n in range(len(payload))])
 
 
-def _hot_cells(lcells: DataFrame, rcells: DataFrame, skew_rows: int):
+def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int):
+    """Cells with more than ``skew_rows`` rows on either side, with salt factors.
+
+    One aggregate over both inputs (left rows by cell, right points by home
+    cell); the result is bounded by ``MAX_HOT_CELLS`` before it is broadcast.
+    """
     spark = lcells.sparkSession
-    lh = (lcells.groupBy("__gx", "__gy").count().where(F.col("count") > skew_rows)
-          .orderBy(F.desc("count")).limit(MAX_HOT_CELLS).collect())
-    rh = (rcells.groupBy("__gx", "__gy").count().where(F.col("count") > skew_rows)
-          .orderBy(F.desc("count")).limit(MAX_HOT_CELLS).collect())
+    both = (lcells.select("__gx", "__gy", F.lit(0).alias("__side"))
+            .unionByName(rpts.select(F.floor(F.col("__rx") / size).alias("__gx"),
+                                     F.floor(F.col("__ry") / size).alias("__gy"), F.lit(1).alias("__side"))))
+    rows = (both.groupBy("__gx", "__gy", "__side").count().where(F.col("count") > skew_rows)
+            .orderBy(F.desc("count")).limit(MAX_HOT_CELLS).collect())
     factors: dict[tuple[int, int], list[int]] = {}
-    for r in lh:
-        factors.setdefault((r["__gx"], r["__gy"]), [1, 1])[0] = int(math.ceil(r["count"] / skew_rows))
-    for r in rh:
-        factors.setdefault((r["__gx"], r["__gy"]), [1, 1])[1] = int(math.ceil(r["count"] / skew_rows))
+    for r in rows:
+        factors.setdefault((r["__gx"], r["__gy"]), [1, 1])[r["__side"]] = int(math.ceil(r["count"] / skew_rows))
     if not factors:
-        return None, False
-    rows = [(gx, gy, fl, fr) for (gx, gy), (fl, fr) in list(factors.items())[:MAX_HOT_CELLS]]
-    hot = spark.createDataFrame(rows, "__gx long, __gy long, __fl int, __fr int")
-    return hot, any(fr > 1 for *_, fr in rows)
+        return None
+    # A right point is copied to its eight neighbour cells too: salt those as well.
+    expanded: dict[tuple[int, int], list[int]] = {}
+    for (gx, gy), (fl, fr) in factors.items():
+        for dx, dy in _OFFSETS:
+            e = expanded.setdefault((gx + dx, gy + dy), [1, 1])
+            e[1] = max(e[1], fr)
+        expanded[(gx, gy)][0] = max(expanded[(gx, gy)][0], fl)
+    rows = [(gx, gy, fl, fr) for (gx, gy), (fl, fr) in expanded.items() if fl > 1 or fr > 1]
+    return spark.createDataFrame(rows[:MAX_HOT_CELLS * 9], "__gx long, __gy long, __fl int, __fr int")
 
 
 def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str, y: str,
            n_payload: int, skew_rows: int) -> DataFrame:
     """Best right point within ``s`` for every pending row (``__best`` NULL if none)."""
     size = F.lit(float(s))
-    left_cols = pending.columns
     lft = pending.select(F.floor(F.col(x) / size).alias("__gx"), F.floor(F.col(y) / size).alias("__gy"),
-                         *[F.col(k) for k in key], F.col(x).alias("__lx"), F.col(y).alias("__ly"),
-                         F.struct(*[F.col(c) for c in left_cols]).alias("__row"))
+                         *[F.col(k) for k in key], F.col(x).alias("__lx"), F.col(y).alias("__ly"))
+    lft = lft.where(F.col("__gx").isNotNull() & F.col("__gy").isNotNull())
     home_x = F.floor(F.col("__rx") / size)
     home_y = F.floor(F.col("__ry") / size)
     cells = F.explode(F.array(*[F.struct((home_x + dx).alias("gx"), (home_y + dy).alias("gy"))
@@ -123,10 +139,10 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
                                          "__rx", "__ry", "__rid",
                                          *[f"__rp{n}" for n in range(n_payload)])
 
-    hot, split_right = (None, False) if skew_rows <= 0 else _hot_cells(lft, rgt, skew_rows)
+    hot = None if skew_rows <= 0 else _hot_cells(lft, rpts, size, skew_rows)
     join_keys = ["__gx", "__gy"]
     if hot is not None:
-        hb = F.broadcast(hot)  # at most MAX_HOT_CELLS rows
+        hb = F.broadcast(hot)  # bounded list of hot cells
         lft = (lft.join(hb, join_keys, "left")
                .withColumn("__sl", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.coalesce("__fl", F.lit(1))))
                .withColumn("__sr", F.explode(F.sequence(F.lit(0), F.coalesce("__fr", F.lit(1)) - 1)))
@@ -137,20 +153,16 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
                .drop("__fl", "__fr"))
         join_keys = join_keys + ["__sl", "__sr"]
 
-    j = lft.join(rgt, join_keys, "left")
+    # Inner join: AQE may split a skewed cell on either side.  Every left row's
+    # candidates are reduced to one per task before the shuffle on the key.
     d = distance("__lx", "__ly", "__rx", "__ry")
-    cand = F.when(d <= size, F.struct(d.alias("d"), F.col("__rid").alias("id"), F.col("__rx").alias("x"),
-                                      F.col("__ry").alias("y"),
-                                      *[F.col(f"__rp{n}").alias(f"p{n}") for n in range(n_payload)]))
-    j = j.withColumn("__cand", cand)
-    group_keys = join_keys[:2] + (["__sl"] if hot is not None else []) + key
-    if split_right:
-        part = j.groupBy(*(group_keys + ["__sr"])).agg(F.min("__cand").alias("__best"),
-                                                        F.first("__row").alias("__row"))
-        agg = part.groupBy(*key).agg(F.min("__best").alias("__best"), F.first("__row").alias("__row"))
-    else:
-        agg = j.groupBy(*group_keys).agg(F.min("__cand").alias("__best"), F.first("__row").alias("__row"))
-    return agg.select(*[F.col(f"__row.{c}").alias(c) for c in left_cols], "__best")
+    cand = (lft.join(rgt, join_keys, "inner")
+            .withColumn("__d", d).where(F.col("__d") <= size)
+            .select(*key, F.struct(F.col("__d").alias("d"), F.col("__rid").alias("id"),
+                                   F.col("__rx").alias("x"), F.col("__ry").alias("y"),
+                                   *[F.col(f"__rp{n}").alias(f"p{n}") for n in range(n_payload)]).alias("__cand")))
+    best = cand.groupBy(*key).agg(F.min("__cand").alias("__best"))
+    return pending.join(best, key, "left")
 
 
 def _finish(df: DataFrame, names: PairColumns, payload_out: list[str]) -> DataFrame:
