@@ -136,6 +136,7 @@ def _rows(lines: DataFrame, kind: str, sep: str, header: str | bool) -> DataFram
         chosen = chosen.join(_header_flags(lines, chosen, kind), "source_file")
     else:
         chosen = chosen.withColumn("header", F.lit(bool(header)))
+    chosen = chosen.checkpoint()  # one row per file, reused by every later step
     rows = lines.where(F.trim(F.col("value")) != "").join(chosen, "source_file")
     rows = rows.withColumn("__f", _split_any(rows))
     width = F.size(F.col("__f"))
@@ -164,10 +165,6 @@ def parse_points(lines: DataFrame, *, has_height: bool = True, sep: str = "auto"
     rows = _rows(lines, "points", sep, header)
     need = 4 if has_height else 3
     with_id = F.col("n_cols") >= need
-    base = need - 1  # columns when the id is missing
-    too_narrow = rows.where(F.col("n_cols") < base).select("source_file").limit(1).collect()
-    if too_narrow:
-        raise BadFileError(f"{too_narrow[0][0]}: too few columns")
     rows = sequential_index(rows, ["source_file", "line_no"], out="__idx")
     first_idx = rows.groupBy("source_file").agg(F.min("__idx").alias("__i0"))
     rows = rows.join(first_idx, "source_file").withColumn("row_no", F.col("__idx") - F.col("__i0") + 1)
