@@ -111,9 +111,9 @@ def sniff(lines: DataFrame, kind: str = "points", sep: str = "auto") -> DataFram
     return chosen
 
 
-def _header_flags(lines: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
+def _header_flags(lines: DataFrame, chosen: DataFrame, kind: str, seps: Sequence[str]) -> DataFrame:
     first = (lines.join(chosen, "source_file").where(F.col("line_no") == F.col("first_line")))
-    fields = _split_any(first)
+    fields = _split_any(first, seps)
     last = F.try_element_at(fields, F.try_element_at(F.col("kept"), F.lit(-1)) + 1)
     if kind == "points":
         header = parse_number(last).isNull()
@@ -123,22 +123,26 @@ def _header_flags(lines: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
     return first.select("source_file", header.alias("header"))
 
 
-def _split_any(df: DataFrame) -> Column:
+def _split_any(df: DataFrame, seps: Sequence[str] = tuple(SEPARATORS)) -> Column:
+    """Split ``value`` with the separator chosen for the row's file."""
     v = F.col("value")
-    return (F.when(F.col("sep") == ";", split_fields(v, ";"))
-            .when(F.col("sep") == ",", split_fields(v, ","))
-            .otherwise(split_fields(v, "whitespace")))
+    out = None
+    for s in seps:
+        e = split_fields(v, s)
+        out = F.when(F.col("sep") == s, e) if out is None else out.when(F.col("sep") == s, e)
+    return out
 
 
 def _rows(lines: DataFrame, kind: str, sep: str, header: str | bool) -> DataFrame:
     chosen = sniff(lines, kind, sep)
+    seps = SEPARATORS if sep == "auto" else [sep]
     if header == "auto":
-        chosen = chosen.join(_header_flags(lines, chosen, kind), "source_file")
+        chosen = chosen.join(_header_flags(lines, chosen, kind, seps), "source_file")
     else:
         chosen = chosen.withColumn("header", F.lit(bool(header)))
     chosen = chosen.checkpoint()  # one row per file, reused by every later step
     rows = lines.where(F.trim(F.col("value")) != "").join(chosen, "source_file")
-    rows = rows.withColumn("__f", _split_any(rows))
+    rows = rows.withColumn("__f", _split_any(rows, seps))
     width = F.size(F.col("__f"))
     rows = rows.join(
         rows.where(F.col("line_no") == F.col("first_line")).select("source_file", width.alias("__w")),
@@ -229,10 +233,38 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(p, r"(\.[^./\\]+)$", 1))
 
 
+def _by_format(paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if any(p.lower().endswith(".xls") for p in paths):
+        raise ValueError("legacy binary .xls workbooks are not supported; save them as .xlsx")
+    books = [p for p in paths if p.lower().endswith(".xlsx")]
+    return [p for p in paths if p not in books], books
+
+
 def read_points(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFrame:
-    """Delimited point files (any extension except .xls/.xlsx)."""
-    return parse_points(read_lines(spark, paths), **kw)
+    """Point files: .xlsx workbooks through ``workbook``, anything else as delimited text."""
+    text, books = _by_format(paths)
+    parts = []
+    if text:
+        parts.append(parse_points(read_lines(spark, text), **kw))
+    if books:
+        from .workbook import read_workbook_points
+        parts.append(read_workbook_points(spark, books, **kw))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_scope(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFrame:
-    return parse_scope(read_lines(spark, paths), **kw)
+    text, books = _by_format(paths)
+    parts = []
+    if text:
+        parts.append(parse_scope(read_lines(spark, text), **kw))
+    if books:
+        from .workbook import read_workbook_scope
+        parts.append(read_workbook_scope(spark, books, **kw))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
