@@ -102,9 +102,14 @@ def project_2000_to_1992(df: DataFrame, northing: str, easting: str, zone: str,
         "__e_raw": _lit(FE_1992) + _lit(k0a_dst) * e_sum,
         "__n_raw": _lit(FN_1992) + _lit(k0a_dst) * n_sum,
     })
-    out = staged.withColumns({out_e: _finite(F.col("__e_raw")), out_n: _finite(F.col("__n_raw"))})
-    return out.drop("__xi", "__eta", "__shift", "__xip", "__etap", "__chi", "__dlam",
-                    "__xf", "__ef", "__e_raw", "__n_raw")
+    # The results leave through a one-row generator: a filter on them (for
+    # example the IS NOT NULL that a join on the derived key infers) cannot be
+    # pushed below a generator, so it is never rewritten into the inlined
+    # series, which would multiply the expression many times over.
+    result = F.inline(F.array(F.struct(_finite(F.col("__e_raw")).alias(out_e),
+                                       _finite(F.col("__n_raw")).alias(out_n))))
+    keep = [c for c in df.columns if c not in (out_e, out_n)]
+    return staged.select(*keep, result)
 
 
 def project_point(northing: float, easting: float, zone: int) -> tuple[float, float]:
