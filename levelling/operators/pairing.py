@@ -155,6 +155,12 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
 
     # Inner join: AQE may split a skewed cell on either side.  Every left row's
     # candidates are reduced to one per task before the shuffle on the key.
+    # Both sides are hash-partitioned on the cell key: a co-partitioned shuffle
+    # join whose parallelism does not depend on how the inputs were read.  The
+    # replicated right side grows with the data and is never broadcast on an
+    # estimate; AQE may still switch to a broadcast from measured sizes.
+    lft = lft.repartition(*[F.col(c) for c in join_keys])
+    rgt = rgt.repartition(*[F.col(c) for c in join_keys])
     d = distance("__lx", "__ly", "__rx", "__ry")
     cand = (lft.join(rgt, join_keys, "inner")
             .withColumn("__d", d).where(F.col("__d") <= size)
