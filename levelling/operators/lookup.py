@@ -153,25 +153,24 @@ def fetch_with_retry(fetch: Callable[[list[tuple[float, float]]], str],
 
 def _service_task(fetch, pass_no: int, batch_size: int, attempts: int, threads: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = []
-        for pdf in it:
-            pdf = pdf.reset_index(drop=True)
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                batches.append([(e / 100.0, n / 100.0) for n, e in zip(chunk["n_cm"], chunk["e_cm"])])
         base = 0
 
         def one(b):
             return fetch_with_retry(fetch, b, attempts)
 
         with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-            for answer in pool.map(one, batches):
-                if answer:
-                    n, e, h = zip(*answer)
-                    yield pd.DataFrame({"n_cm": list(n), "e_cm": list(e), "h_ref": list(h),
-                                        "pass_no": pass_no, "batch_no": base,
-                                        "pos": list(range(len(answer)))})
-                base += 1
+            for pdf in it:  # one Arrow batch at a time: memory stays bounded
+                n_cm = pdf["n_cm"].tolist()
+                e_cm = pdf["e_cm"].tolist()
+                batches = [[(e / 100.0, n / 100.0) for n, e in zip(n_cm[i:i + batch_size], e_cm[i:i + batch_size])]
+                           for i in range(0, len(n_cm), batch_size)]
+                for answer in pool.map(one, batches):
+                    if answer:
+                        n, e, h = zip(*answer)
+                        yield pd.DataFrame({"n_cm": list(n), "e_cm": list(e), "h_ref": list(h),
+                                            "pass_no": pass_no, "batch_no": base,
+                                            "pos": list(range(len(answer)))})
+                    base += 1
     return run
 
 
@@ -187,11 +186,13 @@ def fetch_heights(keys: DataFrame, fetch: Callable[[list[tuple[float, float]]],
     spark = keys.sparkSession
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = keys.select(*KEY).where(F.col("n_cm").isNotNull() & F.col("e_cm").isNotNull()).distinct()
-    d = d.repartition(n, *KEY)
+    # A fixed number of request streams: a numbered round-robin repartition is
+    # never coalesced by AQE (and is made deterministic by a local sort).
+    d = d.repartition(n)
     first = d.mapInPandas(_service_task(fetch, 1, batch_size, attempts, threads_per_task),
                           RESULT_SCHEMA)
     first = first.checkpoint()  # answers of a remote service must not be re-requested
-    missing = d.join(first.select(*KEY), KEY, "left_anti").repartition(n, *KEY)
+    missing = d.join(first.select(*KEY), KEY, "left_anti").repartition(n)
     second = missing.mapInPandas(_service_task(fetch, 2, batch_size, attempts, threads_per_task),
                                  RESULT_SCHEMA)
     return last_answer_wins(first.unionByName(second))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used with the library should carry.  AQE re-plans
 # joins from runtime sizes, splits skewed shuffle partitions and coalesces
@@ -61,3 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="levelling-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the default parallelism when it has fewer partitions.
+
+    A small input stored as one file with one row group is read by one task;
+    row-heavy work on it (projection, the cell join) would then run on one
+    core.  Large inputs already have many splits and pass through unchanged,
+    so no shuffle is added at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

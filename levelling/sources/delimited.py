@@ -83,49 +83,55 @@ def _kept(mask: Column) -> Column:
 
 
 def sniff(lines: DataFrame, kind: str = "points", sep: str = "auto") -> DataFrame:
-    """Per file: chosen separator, kept column indexes and whether row 1 is a header.
-
-    ``kind`` is ``points`` (at least two columns) or ``scope`` (exactly two or
-    three).  Returns source_file, sep, kept (ARRAY<INT>), n_cols, header.
+    """Per file: chosen separator, kept column indexes, first line and its text.
+
+    Two aggregate passes over the lines test every candidate separator at
+    once: the first finds the width of each file's first row per separator,
+    the second ORs the non-empty-column masks of the rows that are not
+    wider.  ``kind`` is ``points`` (at least two columns) or ``scope`` (two
+    or three).  Returns source_file, sep, kept (ARRAY<INT>), n_cols,
+    first_line, first_value.
     """
-    body = lines.where(F.trim(F.col("value")) != "")
     seps = SEPARATORS if sep == "auto" else [sep]
-    per_sep = []
-    for order, s in enumerate(seps):
-        fl = body.withColumn("__f", split_fields(F.col("value"), s))
-        first = F.min_by(F.size("__f"), F.col("line_no"))
-        stats = fl.groupBy("source_file").agg(first.alias("width"),
-                                              F.min("line_no").alias("first_line"))
-        masks = (fl.join(stats, "source_file").where(F.size("__f") <= F.col("width"))
-                 .groupBy("source_file").agg(F.bit_or(_mask(F.col("__f"))).alias("mask")))
-        per_sep.append(stats.join(masks, "source_file")
-                       .withColumn("sep", F.lit(s)).withColumn("sep_order", F.lit(order)))
-    allsep = per_sep[0]
-    for p in per_sep[1:]:
-        allsep = allsep.unionByName(p)
-    allsep = allsep.withColumn("kept", _kept(F.col("mask"))).withColumn("n_cols", F.size("kept"))
-    ok = (F.col("n_cols") >= 2) if kind == "points" else F.col("n_cols").isin(2, 3)
-    chosen = (allsep.where(ok).groupBy("source_file")
-              .agg(F.min_by(F.struct("sep", "kept", "n_cols", "first_line"), F.col("sep_order")).alias("c"))
-              .select("source_file", "c.*"))
-    return chosen
-
-
-def _header_flags(lines: DataFrame, chosen: DataFrame, kind: str, seps: Sequence[str]) -> DataFrame:
-    first = (lines.join(chosen, "source_file").where(F.col("line_no") == F.col("first_line")))
-    fields = _split_any(first, seps)
+    # Split once per separator into columns; the mask lambda then reads the
+    # arrays instead of re-splitting the line for every column index.
+    body = lines.where(F.trim(F.col("value")) != "").select(
+        "source_file", "line_no", "value",
+        *[split_fields(F.col("value"), s).alias(f"__f{i}") for i, s in enumerate(seps)])
+    fields = [F.col(f"__f{i}") for i in range(len(seps))]
+    widths = body.groupBy("source_file").agg(
+        F.min("line_no").alias("first_line"), F.min_by("value", F.col("line_no")).alias("first_value"),
+        *[F.min_by(F.size(f), F.col("line_no")).alias(f"__w{i}") for i, f in enumerate(fields)])
+    masks = (body.join(widths.select("source_file", *[f"__w{i}" for i in range(len(seps))]), "source_file")
+             .groupBy("source_file")
+             .agg(*[F.bit_or(F.when(F.size(f) <= F.col(f"__w{i}"), _mask(f))).alias(f"__m{i}")
+                    for i, f in enumerate(fields)]))
+    per_file = widths.join(masks, "source_file")
+    choice = None
+    for i in reversed(range(len(seps))):
+        n = F.size(_kept(F.col(f"__m{i}")))
+        ok = (n >= 2) if kind == "points" else n.isin(2, 3)
+        pick = F.struct(F.lit(seps[i]).alias("sep"), _kept(F.col(f"__m{i}")).alias("kept"))
+        choice = F.when(ok, pick) if choice is None else F.when(ok, pick).otherwise(choice)
+    return (per_file.withColumn("__c", choice).where(F.col("__c").isNotNull())
+            .select("source_file", F.col("__c.sep").alias("sep"), F.col("__c.kept").alias("kept"),
+                    F.size(F.col("__c.kept")).alias("n_cols"), "first_line", "first_value"))
+
+
+def _header_flag(kind: str, seps: Sequence[str]) -> Column:
+    """Header test on the first row of each file of a ``sniff`` result."""
+    fields = _split_any(None, seps, F.col("first_value"))
     last = F.try_element_at(fields, F.try_element_at(F.col("kept"), F.lit(-1)) + 1)
     if kind == "points":
-        header = parse_number(last).isNull()
-    else:
-        prev = F.try_element_at(fields, F.try_element_at(F.col("kept"), F.lit(-2)) + 1)
-        header = parse_number(last).isNull() | parse_number(prev).isNull()
-    return first.select("source_file", header.alias("header"))
+        return parse_number(last).isNull()
+    prev = F.try_element_at(fields, F.try_element_at(F.col("kept"), F.lit(-2)) + 1)
+    return parse_number(last).isNull() | parse_number(prev).isNull()
 
 
-def _split_any(df: DataFrame, seps: Sequence[str] = tuple(SEPARATORS)) -> Column:
+def _split_any(df: DataFrame | None, seps: Sequence[str] = tuple(SEPARATORS),
+               v: Column | None = None) -> Column:
     """Split ``value`` with the separator chosen for the row's file."""
-    v = F.col("value")
+    v = F.col("value") if v is None else v
     out = None
     for s in seps:
         e = split_fields(v, s)
@@ -134,19 +140,15 @@ def _split_any(df: DataFrame, seps: Sequence[str] = tuple(SEPARATORS)) -> Column
 
 
 def _rows(lines: DataFrame, kind: str, sep: str, header: str | bool) -> DataFrame:
-    chosen = sniff(lines, kind, sep)
     seps = SEPARATORS if sep == "auto" else [sep]
-    if header == "auto":
-        chosen = chosen.join(_header_flags(lines, chosen, kind, seps), "source_file")
-    else:
-        chosen = chosen.withColumn("header", F.lit(bool(header)))
-    chosen = chosen.checkpoint()  # one row per file, reused by every later step
+    chosen = sniff(lines, kind, sep)
+    flag = _header_flag(kind, seps) if header == "auto" else F.lit(bool(header))
+    chosen = chosen.withColumn("header", flag)
+    chosen = chosen.withColumn("__w", F.size(_split_any(None, seps, F.col("first_value"))))
+    chosen = chosen.drop("first_value").checkpoint()  # one row per file, reused by every later step
     rows = lines.where(F.trim(F.col("value")) != "").join(chosen, "source_file")
     rows = rows.withColumn("__f", _split_any(rows, seps))
     width = F.size(F.col("__f"))
-    rows = rows.join(
-        rows.where(F.col("line_no") == F.col("first_line")).select("source_file", width.alias("__w")),
-        "source_file")
     rows = rows.where((width <= F.col("__w"))
                       & ~(F.col("header") & (F.col("line_no") == F.col("first_line"))))
     cells = F.transform(F.col("kept"), lambda i: F.try_element_at(F.col("__f"), i + 1))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projection import project_2000_to_1992
+from ..session import spread
 
 # Vertices (x, y) of the concave scope polygon in ring order,
 # and its grid spacing.
@@ -27,7 +28,7 @@ SCOPE_SPACING = 25.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _hundredths(expr):
