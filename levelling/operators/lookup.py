@@ -184,6 +184,8 @@ def fetch_heights(keys: DataFrame, fetch: Callable[[list[tuple[float, float]]],
     the number of concurrent request streams.  Returns n_cm, e_cm, h_ref.
     """
     spark = keys.sparkSession
+    from ..session import ship_package
+    ship_package(spark)
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = keys.select(*KEY).where(F.col("n_cm").isNotNull() & F.col("e_cm").isNotNull()).distinct()
     # A fixed number of request streams: a numbered round-robin repartition is

@@ -6,8 +6,10 @@ one in.  ``local_session`` exists for tests, the bench and the smoke entry.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +78,31 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``levelling`` importable in Python workers (once per application).
+
+    Operators that run Python inside tasks (``mapInPandas`` for the height
+    service and workbooks) need the package on the workers; a zip of it is
+    handed to ``SparkContext.addPyFile``, which distributes it to executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("levelling", os.path.relpath(full, pkg)))
+    path = os.path.join(tempfile.mkdtemp(prefix="levelling-pyfiles-"), "levelling.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

@@ -102,6 +102,8 @@ def _decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_workbook_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    from ..session import ship_package
+    ship_package(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(_decode, "source_file string, line_no long, value string")
