@@ -736,6 +736,75 @@ SELECT k, text, CASE WHEN regexp_full_match(replace(text, ',', '.'), '{NUMERIC_S
                      THEN TRY_CAST(trim(replace(text, ',', '.')) AS DOUBLE) END AS value FROM t"""
 
 
+# --- remaining inventory items -------------------------------------------------------------
+
+def compare_pair_diff_q(spark, sf):
+    return pl.compare(fx.inp(spark, sf), key="k", reference=fx.cmp(spark, sf),
+                      heights=fx.heights_projected(spark, sf), max_distance=MAX_DISTANCE,
+                      decimals=DECIMALS, tolerance=TOLERANCE, height_tolerance=TOLERANCE,
+                      pair_service_diff=True, sort=False).select(
+        "id_odniesienia", "diff_h_geoportal", "diff_h", "diff_h_geoportal_pair")
+
+
+def _compare_pair_diff_sql() -> str:
+    base = _service_sql(True)
+    head, select = base.rsplit("SELECT ", 1)
+    pair = q.rint_sql(q.diff_sql("ch", "h_ref", DECIMALS), DECIMALS)
+    cols = select.rsplit("FROM withh", 1)[0].rstrip()
+    return (head.rstrip() + f""",
+res AS (SELECT {cols}, {pair} AS diff_h_geoportal_pair FROM withh)
+SELECT id_odniesienia, diff_h_geoportal, diff_h, diff_h_geoportal_pair FROM res""")
+
+
+EXTENSIONS = [".TXT", ".csv", ".xlsx", ".dat", ".XLS", ""]
+
+
+def _file_names(k):
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (k % len(EXTENSIONS) + 1).cast("int"))
+    return F.concat(F.lit("/data/survey."), (k % 7).cast("string"), F.lit("/pts_"), k.cast("string"), ext)
+
+
+def file_format_q(spark, sf):
+    from ..sources.delimited import extension
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    e = extension(_file_names(F.col("k")))
+    return o.select("k", e.alias("ext"),
+                    F.when(e == ".xlsx", "workbook").when(e == ".xls", "unsupported")
+                    .otherwise("delimited").alias("reader"))
+
+
+def _file_format_sql() -> str:
+    arr = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"
+    name = f"concat('/data/survey.', CAST(k % 7 AS VARCHAR), '/pts_', CAST(k AS VARCHAR), {arr}[k % {len(EXTENSIONS)} + 1])"
+    ext = f"lower(regexp_extract({name}, '(\\.[^./\\\\]+)$', 1))"
+    return f"""WITH o AS (SELECT o_orderkey AS k FROM orders)
+SELECT k, {ext} AS ext,
+       CASE WHEN {ext} = '.xlsx' THEN 'workbook' WHEN {ext} = '.xls' THEN 'unsupported' ELSE 'delimited' END AS reader
+FROM o"""
+
+
+def all_zero_batches_q(spark, sf):
+    from ..operators.lookup import all_zero_batches
+    p = _inp_projected(spark, sf)
+    k = F.col("k")
+    h = F.when(F.floor(k / 300) % 5 == 0, F.lit(0.0)).otherwise(F.col("h"))
+    a = p.select("n_cm", "e_cm", h.alias("h_ref"), F.lit(1).alias("pass_no"), F.floor(k / 300).alias("batch_no"),
+                 (k % 300).cast("int").alias("pos"))
+    return all_zero_batches(a)
+
+
+def _all_zero_batches_sql() -> str:
+    return (f"WITH {q.INP},\n" + INP_PROJ + """
+SELECT 1 AS pass_no, floor(k/300) AS batch_no,
+       bool_and((CASE WHEN floor(k/300) % 5 = 0 THEN 0.0e0 ELSE h END) = 0.0e0) AS all_zero
+FROM ipk GROUP BY 2""")
+
+
+def enrich_csv_q(spark, sf):
+    from ..sinks.writers import enrich_for_csv
+    return enrich_for_csv(enrich_xy_q(spark, sf))
+
+
 # --- registry --------------------------------------------------------------------------------
 
 def queries() -> dict[str, Query]:
@@ -778,6 +847,10 @@ def queries() -> dict[str, Query]:
         "run_metrics": run_metrics_q,
         "split_accuracy": split_accuracy_q,
         "geo_layer": geo_layer_q,
+        "compare_pair_diff": compare_pair_diff_q,
+        "file_format": file_format_q,
+        "all_zero_batches": all_zero_batches_q,
+        "enrich_csv": enrich_csv_q,
     }
 
 
@@ -833,4 +906,11 @@ def oracle_sql() -> dict[str, str]:
         "run_metrics": _run_metrics_sql(),
         "split_accuracy": _split_accuracy_sql(),
         "geo_layer": _geo_layer_sql(),
+        "compare_pair_diff": _compare_pair_diff_sql(),
+        "file_format": _file_format_sql(),
+        "all_zero_batches": _all_zero_batches_sql(),
+        "enrich_csv": inp_proj + ",\n" + q.HTS_PROJ +
+                      f"\nSELECT p.id AS id_odniesienia, {q.rint_sql('p.x', 2)} AS x_odniesienia, "
+                      f"{q.rint_sql('p.y', 2)} AS y_odniesienia, {q.rint_sql('t.h_ref', 1)} AS h_geoportal "
+                      "FROM ipk p LEFT JOIN hts t ON t.n_cm = p.n_cm AND t.e_cm = p.e_cm",
     }
