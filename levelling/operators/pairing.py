@@ -6,8 +6,8 @@ point within ``max_distance`` (inclusive) keep NULL pair columns; with
 ``max_distance == 0`` the search has no limit.
 
 Plan.  Space is cut into square cells of side ``s``.  Every point within ``s``
-of a left point lies in the 3x3 block of cells around it, so each right point
-is copied to the nine cells whose block contains it and the two tables are
+of a left point lies in the 3x3 block of cells around it, so the rows of one
+side are copied to the nine cells around their own and the two tables are
 equi-joined on the cell key (a hash-partitioned shuffle join; no nested loop,
 no cartesian product).  The join is an inner join so that AQE may split a
 skewed cell on either side; candidates are reduced per left key (partial
@@ -21,6 +21,9 @@ rows.  Only narrow rows (key, distance, right point) are aggregated.
   candidates per row) and grow four-fold per round.  A row whose best candidate is within the
   current cell size is final; only the others go to the next round.  Rounds
   are separated by reliable checkpoints.
+* The side that is copied nine times is the cheaper one: the right side
+  unless it has more than twice the left's rows (rows shuffled: 2L + 9R
+  against 18L + R).
 * Hot cells: cells with more than ``skew_rows`` rows on either side are
   split by a salt (left rows by key hash, right rows by point hash) and the
   other side of that cell is copied to every salt.  The hot-cell list is
@@ -96,10 +99,10 @@ def _right_points(right: DataFrame, rid: str, rx: str, ry: str, payload: list[st
                     *[F.col(f"__r.p{n}").alias(f"__rp{n}") for n in range(len(payload))])
 
 
-def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int):
+def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int, replicate_left: bool):
     """Cells with more than ``skew_rows`` rows on either side, with salt factors.
 
-    One aggregate over both inputs (left rows by cell, right points by home
+    One aggregate over both inputs (left rows and right points by home
     cell); the result is bounded by ``MAX_HOT_CELLS`` before it is broadcast.
     """
     spark = lcells.sparkSession
@@ -113,33 +116,43 @@ def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int)
         factors.setdefault((r["__gx"], r["__gy"]), [1, 1])[r["__side"]] = int(math.ceil(r["count"] / skew_rows))
     if not factors:
         return None
-    # A right point is copied to its eight neighbour cells too: salt those as well.
+    # The copied side also lands in the eight neighbour cells: salt those too.
+    copied = 0 if replicate_left else 1
     expanded: dict[tuple[int, int], list[int]] = {}
-    for (gx, gy), (fl, fr) in factors.items():
+    for (gx, gy), f in factors.items():
         for dx, dy in _OFFSETS:
             e = expanded.setdefault((gx + dx, gy + dy), [1, 1])
-            e[1] = max(e[1], fr)
-        expanded[(gx, gy)][0] = max(expanded[(gx, gy)][0], fl)
+            e[copied] = max(e[copied], f[copied])
+        home = expanded[(gx, gy)]
+        home[1 - copied] = max(home[1 - copied], f[1 - copied])
     rows = [(gx, gy, fl, fr) for (gx, gy), (fl, fr) in expanded.items() if fl > 1 or fr > 1]
     return spark.createDataFrame(rows[:MAX_HOT_CELLS * 9], "__gx long, __gy long, __fl int, __fr int")
 
 
 def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str, y: str,
-           n_payload: int, skew_rows: int) -> DataFrame:
+           n_payload: int, skew_rows: int, replicate_left: bool = False) -> DataFrame:
     """Best right point within ``s`` for every pending row (``__best`` NULL if none)."""
     size = F.lit(float(s))
     lft = pending.select(F.floor(F.col(x) / size).alias("__gx"), F.floor(F.col(y) / size).alias("__gy"),
                          *[F.col(k) for k in key], F.col(x).alias("__lx"), F.col(y).alias("__ly"))
     lft = lft.where(F.col("__gx").isNotNull() & F.col("__gy").isNotNull())
-    home_x = F.floor(F.col("__rx") / size)
-    home_y = F.floor(F.col("__ry") / size)
-    cells = F.explode(F.array(*[F.struct((home_x + dx).alias("gx"), (home_y + dy).alias("gy"))
-                                for dx, dy in _OFFSETS])).alias("__c")
-    rgt = rpts.select(cells, "*").select(F.col("__c.gx").alias("__gx"), F.col("__c.gy").alias("__gy"),
-                                         "__rx", "__ry", "__rid",
-                                         *[f"__rp{n}" for n in range(n_payload)])
-
-    hot = None if skew_rows <= 0 else _hot_cells(lft, rpts, size, skew_rows)
+    rgt = rpts.select(F.floor(F.col("__rx") / size).alias("__gx"), F.floor(F.col("__ry") / size).alias("__gy"),
+                      "__rx", "__ry", "__rid", *[f"__rp{n}" for n in range(n_payload)])
+    hot = None if skew_rows <= 0 else _hot_cells(lft, rpts, size, skew_rows, replicate_left)
+
+    # Copy one side to the nine cells around its home cell (the smaller side,
+    # chosen by the caller from the row counts).
+    def copy9(df: DataFrame) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct((F.col("__gx") + dx).alias("gx"), (F.col("__gy") + dy).alias("gy"))
+                                    for dx, dy in _OFFSETS])).alias("__c")
+        rest = [c for c in df.columns if c not in ("__gx", "__gy")]
+        return df.select(cells, *rest).select(F.col("__c.gx").alias("__gx"), F.col("__c.gy").alias("__gy"), *rest)
+
+    if replicate_left:
+        lft = copy9(lft)
+    else:
+        rgt = copy9(rgt)
+
     join_keys = ["__gx", "__gy"]
     if hot is not None:
         hb = F.broadcast(hot)  # bounded list of hot cells
@@ -157,8 +170,8 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
     # candidates are reduced to one per task before the shuffle on the key.
     # Both sides are hash-partitioned on the cell key: a co-partitioned shuffle
     # join whose parallelism does not depend on how the inputs were read.  The
-    # replicated right side grows with the data and is never broadcast on an
-    # estimate; AQE may still switch to a broadcast from measured sizes.
+    # copied side grows with the data and is never broadcast on an estimate;
+    # AQE may still switch to a broadcast from measured sizes.
     lft = lft.repartition(*[F.col(c) for c in join_keys])
     rgt = rgt.repartition(*[F.col(c) for c in join_keys])
     d = distance("__lx", "__ly", "__rx", "__ry")
@@ -201,27 +214,34 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         raise ValueError("payload_out must name every payload column")
     rpts = _right_points(right, right_id, right_x, right_y, payload)
 
+    # One job over both inputs: row counts (which side to copy) and the right
+    # side's bounding box (cell sizes).
+    both = (left.select(F.lit(0).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"))
+            .unionByName(right.select(F.lit(1).alias("s"), F.col(right_x).alias("x"), F.col(right_y).alias("y"))))
+    stats = {r["s"]: r for r in both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+                               F.min("y").alias("y0"), F.max("y").alias("y1")).collect()}
+    n_left = stats[0]["n"] if 0 in stats else 0
+    n_right = stats[1]["n"] if 1 in stats else 0
+    if n_right == 0:
+        return _finish(left.withColumn("__best", F.lit(None).cast(_best_type(right, right_id, right_x, right_y, payload))),
+                       names, payload_out)
+    replicate_left = n_right > 2 * n_left  # rows shuffled: 18L + R against 2L + 9R
     if schedule is None:
-        st = right.agg(F.count(F.col(right_x)).alias("n"),
-                       F.min(right_x).alias("x0"), F.max(right_x).alias("x1"),
-                       F.min(right_y).alias("y0"), F.max(right_y).alias("y1")).first()
-        n = st["n"] or 0
-        area = ((st["x1"] - st["x0"]) * (st["y1"] - st["y0"])) if n else 0.0
-        schedule = cell_schedule(max_distance, n, area)
-        if n == 0:
-            return _finish(left.withColumn("__best", F.lit(None).cast(_best_type(right, right_id, right_x, right_y, payload))),
-                           names, payload_out)
+        st = stats[1]
+        schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]))
     schedule = list(schedule)
 
     if max_distance > 0 and len(schedule) == 1:
-        return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows), names, payload_out)
+        return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows, replicate_left),
+                       names, payload_out)
 
     done: list[DataFrame] = []
     pending = left
     s = schedule[0]
     i = 0
     while True:
-        out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows).checkpoint()
+        out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows, replicate_left).checkpoint()
         done.append(out.where(F.col("__best").isNotNull()))
         pending = out.where(F.col("__best").isNull()).drop("__best")
         i += 1

@@ -77,3 +77,14 @@ def test_plan_has_no_nested_loop(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("skew", [0, 15])
+def test_small_left_copies_the_left_side(spark, skew):
+    # right side has more than twice the left rows: the left side is copied
+    left = [(i, x, y) for i, (x, y) in enumerate(points(3, 60, 40.0, dup=20))]
+    right = [(f"r{i:04d}", x, y) for i, (x, y) in enumerate(points(4, 400, 40.0, dup=30))]
+    got = run(spark, left, right, 3.0, skew_rows=skew)
+    assert got == brute(left, right, 3.0)
+    got0 = run(spark, left, right, 0.0, skew_rows=skew)
+    assert got0 == brute(left, right, 0.0)
