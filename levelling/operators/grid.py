@@ -119,7 +119,7 @@ def hex_centres(spark: SparkSession, vertices: Sequence[tuple[float, float]], sp
                 *, inside_only: bool = True, rows_per_partition: int = 1_000_000) -> DataFrame:
     """Centres (r, c, x, y) of the hexagonal grid; by default only those inside the polygon."""
     g = grid_for(vertices, spacing)
-    parts = max(1, g.candidate_count // rows_per_partition + 1)
+    parts = max(spark.sparkContext.defaultParallelism, g.candidate_count // rows_per_partition + 1)
     pts = _lattice_points(spark, g.lattice(False), 0, parts).unionByName(
         _lattice_points(spark, g.lattice(True), 1, parts))
     if inside_only:

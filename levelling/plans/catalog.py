@@ -366,7 +366,10 @@ def _hex_thin_sql() -> str:
 
 
 def thin_accurate_q(spark, sf):
-    res = compare_heights_q(spark, sf)
+    # Thinning picks per centre and orders by centre; the |diff| order of the
+    # comparison result does not matter here, so it is not sorted first.
+    res = pl.compare(fx.inp(spark, sf), key="k", heights=fx.heights_projected(spark, sf),
+                     decimals=DECIMALS, height_tolerance=TOLERANCE, sort=False)
     return pl.thin_accurate(res, fx.SCOPE_POLYGON, fx.SCOPE_SPACING)
 
 

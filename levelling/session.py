@@ -24,6 +24,8 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files of DataFrames that went out of scope are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
