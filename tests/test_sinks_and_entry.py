@@ -51,3 +51,14 @@ def test_spatial_layer(spark, tmpdir_fresh):
     path = os.path.join(tmpdir_fresh, "layer")
     write_layer(layer, path)
     assert spark.read.parquet(path).count() == 1500
+
+
+def test_fixture_anchor_counts_sf001(spark):
+    sf = "/root/testdata/sf0.01"
+    res = catalog.compare_file_q(spark, sf).checkpoint()
+    assert res.where(F.col("id_porownania").isNotNull()).count() == 14128
+    assert res.where(F.col("osiaga_dokladnosc") == "Tak").count() == 5027
+    assert catalog.nearest_mutual_q(spark, sf).count() == 9996
+    h = fx.heights_projected(spark, sf)
+    assert h.count() == 13636 and h.where(F.col("h_ref") == 0.0).count() == 140
+    assert catalog.compare_heights_q(spark, sf).where(F.col("osiaga_dokladnosc") == "Tak").count() == 9072
