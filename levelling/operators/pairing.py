@@ -227,6 +227,8 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         return _finish(left.withColumn("__best", F.lit(None).cast(_best_type(right, right_id, right_x, right_y, payload))),
                        names, payload_out)
     replicate_left = n_right > 2 * n_left  # rows shuffled: 18L + R against 2L + 9R
+    if n_left <= skew_rows and n_right <= skew_rows:
+        skew_rows = 0  # no cell can hold more rows than a whole side: skip the hot-cell job
     if schedule is None:
         st = stats[1]
         schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]))
