@@ -23,7 +23,10 @@ rows.  Only narrow rows (key, distance, right point) are aggregated.
   are separated by reliable checkpoints.
 * The side that is copied nine times is the cheaper one: the right side
   unless it has more than twice the left's rows (rows shuffled: 2L + 9R
-  against 18L + R).
+  against 18L + R).  When the copies number at most ``BROADCAST_COPY_ROWS``
+  (a count known before the join) they are broadcast and the other side is
+  joined where it lies, without a shuffle; later rounds re-decide from the
+  count of rows still pending.
 * Hot cells: cells with more than ``skew_rows`` rows on either side are
   split by a salt (left rows by key hash, right rows by point hash) and the
   other side of that cell is copied to every salt.  The hot-cell list is
@@ -48,6 +51,10 @@ MAX_HOT_CELLS = 10_000
 DEFAULT_SKEW_ROWS = 2_000_000
 GROWTH = 4.0
 DENSE_CANDIDATES = 256.0
+# The copied side is broadcast (and the other side joined where it lies,
+# without a shuffle) when its nine copies number at most this many rows;
+# the count is known before the join is planned.
+BROADCAST_COPY_ROWS = 1_000_000
 
 _OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -130,7 +137,8 @@ def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int,
 
 
 def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str, y: str,
-           n_payload: int, skew_rows: int, replicate_left: bool = False) -> DataFrame:
+           n_payload: int, skew_rows: int, replicate_left: bool = False,
+           broadcast_copy: bool = False) -> DataFrame:
     """Best right point within ``s`` for every pending row (``__best`` NULL if none)."""
     size = F.lit(float(s))
     lft = pending.select(F.floor(F.col(x) / size).alias("__gx"), F.floor(F.col(y) / size).alias("__gy"),
@@ -138,7 +146,8 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
     lft = lft.where(F.col("__gx").isNotNull() & F.col("__gy").isNotNull())
     rgt = rpts.select(F.floor(F.col("__rx") / size).alias("__gx"), F.floor(F.col("__ry") / size).alias("__gy"),
                       "__rx", "__ry", "__rid", *[f"__rp{n}" for n in range(n_payload)])
-    hot = None if skew_rows <= 0 else _hot_cells(lft, rpts, size, skew_rows, replicate_left)
+    # A broadcast join has no cell partitions, so no cell can hold a task.
+    hot = None if skew_rows <= 0 or broadcast_copy else _hot_cells(lft, rpts, size, skew_rows, replicate_left)
 
     # Copy one side to the nine cells around its home cell (the smaller side,
     # chosen by the caller from the row counts).
@@ -172,8 +181,14 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
     # join whose parallelism does not depend on how the inputs were read.  The
     # copied side grows with the data and is never broadcast on an estimate;
     # AQE may still switch to a broadcast from measured sizes.
-    lft = lft.repartition(*[F.col(c) for c in join_keys])
-    rgt = rgt.repartition(*[F.col(c) for c in join_keys])
+    if broadcast_copy:  # the caller checked the row count of the copies
+        if replicate_left:
+            lft = F.broadcast(lft)
+        else:
+            rgt = F.broadcast(rgt)
+    else:
+        lft = lft.repartition(*[F.col(c) for c in join_keys])
+        rgt = rgt.repartition(*[F.col(c) for c in join_keys])
     d = distance("__lx", "__ly", "__rx", "__ry")
     cand = (lft.join(rgt, join_keys, "inner")
             .withColumn("__d", d).where(F.col("__d") <= size)
@@ -234,18 +249,26 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]))
     schedule = list(schedule)
 
+    def small(n_copied: int) -> bool:
+        return 9 * n_copied <= BROADCAST_COPY_ROWS
+
     if max_distance > 0 and len(schedule) == 1:
-        return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows, replicate_left),
+        bc = small(n_left if replicate_left else n_right)
+        return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows, replicate_left, bc),
                        names, payload_out)
 
     done: list[DataFrame] = []
     pending = left
+    n_pending = n_left
     s = schedule[0]
     i = 0
     while True:
-        out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows, replicate_left).checkpoint()
+        copy_left = n_right > 2 * n_pending
+        bc = small(n_pending if copy_left else n_right)
+        out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows, copy_left, bc).checkpoint()
         done.append(out.where(F.col("__best").isNotNull()))
         pending = out.where(F.col("__best").isNull()).drop("__best")
+        n_pending = pending.count()  # read from the checkpoint
         i += 1
         if max_distance > 0:
             if i >= len(schedule):
@@ -253,7 +276,7 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
                 break
             s = schedule[i]
         else:
-            if pending.isEmpty():
+            if n_pending == 0:
                 break
             s = s * GROWTH
     result = done[0]

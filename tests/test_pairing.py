@@ -88,3 +88,14 @@ def test_small_left_copies_the_left_side(spark, skew):
     assert got == brute(left, right, 3.0)
     got0 = run(spark, left, right, 0.0, skew_rows=skew)
     assert got0 == brute(left, right, 0.0)
+
+
+def test_shuffle_and_broadcast_plans_agree(spark, monkeypatch):
+    import levelling.operators.pairing as pr
+    left = [(i, x, y) for i, (x, y) in enumerate(points(8, 200, 50.0, dup=10))]
+    right = [(f"r{i:04d}", x, y) for i, (x, y) in enumerate(points(9, 150, 50.0, dup=10))]
+    want = brute(left, right, 4.0)
+    assert run(spark, left, right, 4.0) == want  # small: broadcast copies
+    monkeypatch.setattr(pr, "BROADCAST_COPY_ROWS", 0)
+    assert run(spark, left, right, 4.0) == want  # forced shuffle join
+    assert run(spark, left, right, 0.0) == brute(left, right, 0.0)
