@@ -14,7 +14,7 @@ Heights are keyed by EPSG 2180 coordinates in whole centimetres
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
