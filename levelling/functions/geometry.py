@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A literal polygon with more edges than this is tested through the
-# ``aggregate`` higher-order function instead of an unrolled expression.
+# ``aggregate`` higher-order function over the edges of the point's band
+# instead of an unrolled expression.
 UNROLL_EDGES = 64
 
 
@@ -50,10 +51,41 @@ def inside_polygon(x: Column | str, y: Column | str,
         for x0, y0, x1, y1 in edges:
             acc = acc != _crossing(px, py, F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
         return acc
-    arr = F.array(*[F.struct(F.lit(a).alias("x0"), F.lit(b).alias("y0"),
-                             F.lit(c).alias("x1"), F.lit(d).alias("y1"))
-                    for a, b, c, d in edges])
-    return inside_polygon_edges(px, py, arr)
+    return inside_polygon_banded(px, py, edges)
+
+
+def _edge_struct(e):
+    a, b, c, d = e
+    return F.struct(F.lit(a).alias("x0"), F.lit(b).alias("y0"), F.lit(c).alias("x1"), F.lit(d).alias("y1"))
+
+
+def inside_polygon_banded(px: Column, py: Column, edges: Sequence[tuple[float, float, float, float]],
+                          edges_per_band: int = 4) -> Column:
+    """Even-odd test for large polygons: edges are bucketed into horizontal bands.
+
+    Only edges whose y-range contains the point's y can cross its ray, and
+    all of them overlap the point's band, so a point tests the few edges of
+    its band instead of the whole ring.  Points outside the y-range are
+    outside.
+    """
+    ys = [v for e in edges for v in (e[1], e[3])]
+    lo, hi = min(ys), max(ys)
+    n_bands = max(1, min(65536, len(edges) // edges_per_band))
+    height = (hi - lo) / n_bands if hi > lo else 1.0
+    bands: list[list[tuple]] = [[] for _ in range(n_bands)]
+    for e in edges:
+        # one band of margin on each side: the band of a point is computed in
+        # Spark, and a rounding difference at a band boundary must not drop an edge
+        b0 = min(n_bands - 1, max(0, int((min(e[1], e[3]) - lo) // height) - 1))
+        b1 = min(n_bands - 1, max(0, int((max(e[1], e[3]) - lo) // height) + 1))
+        for b in range(b0, b1 + 1):
+            bands[b].append(e)
+    table = F.array(*[F.array(*[_edge_struct(e) for e in band]) if band else
+                      F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+                      for band in bands])
+    idx = F.least(F.floor((py - F.lit(lo)) / F.lit(height)), F.lit(n_bands - 1)) + 1
+    band_edges = F.when((py >= F.lit(lo)) & (py <= F.lit(hi)), F.try_element_at(table, idx.cast("int")))
+    return F.coalesce(inside_polygon_edges(px, py, band_edges), F.lit(False))
 
 
 def inside_polygon_edges(x: Column | str, y: Column | str, edges: Column) -> Column:
