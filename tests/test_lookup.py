@@ -73,3 +73,26 @@ def test_last_answer_wins(spark):
                               "n_cm long, e_cm long, h_ref double, pass_no int, batch_no long, pos int")
     got = {(r[0], r[1]): r[2] for r in last_answer_wins(a).collect()}
     assert got == {(1, 1): 7.0, (2, 2): 1.0}
+
+
+def test_compare_with_fetch_matches_table(spark):
+    from levelling.plans import catalog
+    from levelling.plans.pipelines import compare
+    from levelling.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    table = {(r["n_cm"], r["e_cm"]): r["h_ref"] for r in fx.heights_projected(spark, sf).collect()}
+
+    def service(pts):
+        out = []
+        for e, n in pts:
+            k = (round(n * 100), round(e * 100))
+            if k in table:
+                out.append(f"{n:.2f} {e:.2f} {table[k]!r}")
+        return ",".join(out)
+
+    a = compare(fx.inp(spark, sf), key="k", fetch=service, sort=False)
+    b = catalog.compare_heights_q(spark, sf)
+    assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count() == 1500
+    c = compare(fx.inp(spark, sf), key="k", heights=fx.heights_projected(spark, sf), zero_is_missing=True)
+    assert c.where(F.col("geoportal_h") == 0.0).count() == 0
+    assert c.where(F.col("geoportal_h").isNull()).count() == b.where(F.col("geoportal_h").isNull()).count() + 14
