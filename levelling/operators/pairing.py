@@ -17,8 +17,9 @@ rows.  Only narrow rows (key, distance, right point) are aggregated.
 * Exact coordinate duplicates on the right collapse to the smallest id
   before the join (a map-side-combined aggregate); they cannot win anyway.
 * Dense data: when a single round at ``max_distance`` would give more than
-  ``DENSE_CANDIDATES`` candidates per left row, cells start small (about 16
-  candidates per row) and grow four-fold per round.  A row whose best candidate is within the
+  ``DENSE_CANDIDATES`` candidates per left row -- judged from the average
+  density and from the densest cell -- cells start small (about 16
+  candidates per row at the peak density) and grow four-fold per round.  A row whose best candidate is within the
   current cell size is final; only the others go to the next round.  Rounds
   are separated by reliable checkpoints.
 * The side that is copied nine times is the cheaper one: the right side
@@ -72,22 +73,28 @@ def _as_list(v: str | Sequence[str]) -> list[str]:
     return [v] if isinstance(v, str) else list(v)
 
 
-def cell_schedule(max_distance: float, right_count: int, right_area: float) -> list[float]:
+def cell_schedule(max_distance: float, right_count: int, right_area: float,
+                  peak_cell_count: int | None = None) -> list[float]:
     """Cell sizes of the rounds.
 
     Expected candidates per left row in a 3x3 block of side-``s`` cells are
-    ``9 * s**2 * density``.  When that stays below ``DENSE_CANDIDATES`` at
+    ``9 * s**2 * density``.  The density used is the larger of the average
+    and the peak (``peak_cell_count`` right points in the densest cell of
+    side ``max_distance``), so a dense cluster cannot make the first round
+    quadratic.  When the candidates stay below ``DENSE_CANDIDATES`` at
     ``max_distance`` one round is used; otherwise the first cell holds about
     16 candidates and sizes grow four-fold up to ``max_distance``.  Without a
-    limit (``max_distance == 0``) the rounds start the same way and continue
-    until every row is resolved.
+    limit (``max_distance == 0``) the rounds start from the average density
+    and continue until every row is resolved.
     """
     density = right_count / right_area if right_count > 0 and right_area > 0 else 0.0
+    if max_distance > 0 and peak_cell_count:
+        density = max(density, peak_cell_count / (max_distance * max_distance))
     first = math.sqrt(16.0 / (9.0 * density)) if density > 0 else 1.0
     if max_distance > 0:
         if density <= 0 or 9.0 * max_distance ** 2 * density <= DENSE_CANDIDATES or first * 2 >= max_distance:
             return [float(max_distance)]
-        s = max(first, max_distance / 256.0)
+        s = max(first, max_distance / 4096.0)
         sizes = []
         while s * 2 < max_distance:
             sizes.append(s)
@@ -246,7 +253,13 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         skew_rows = 0  # no cell can hold more rows than a whole side: skip the hot-cell job
     if schedule is None:
         st = stats[1]
-        schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]))
+        peak = None
+        if max_distance > 0:
+            # densest cell of side max_distance (one aggregate, map-side combined)
+            r = F.lit(float(max_distance))
+            peak = (rpts.groupBy(F.floor(F.col("__rx") / r), F.floor(F.col("__ry") / r)).count()
+                    .agg(F.max("count")).first()[0])
+        schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), peak)
     schedule = list(schedule)
 
     def small(n_copied: int) -> bool:

@@ -99,3 +99,16 @@ def test_shuffle_and_broadcast_plans_agree(spark, monkeypatch):
     monkeypatch.setattr(pr, "BROADCAST_COPY_ROWS", 0)
     assert run(spark, left, right, 4.0) == want  # forced shuffle join
     assert run(spark, left, right, 0.0) == brute(left, right, 0.0)
+
+
+def test_dense_cluster_starts_with_small_cells(spark):
+    assert cell_schedule(15.0, 1000, 4e6, peak_cell_count=5) == [15.0]
+    s = cell_schedule(15.0, 1000, 4e6, peak_cell_count=5000)
+    assert len(s) > 2 and s[0] < 1.0 and s[-1] == 15.0
+    rnd = random.Random(12)
+    # a tight cluster of distinct points inside a sparse field
+    right = [(f"r{i:05d}", 500 + rnd.uniform(0, 3), 500 + rnd.uniform(0, 3)) for i in range(600)]
+    right += [(f"s{i:04d}", rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for i in range(200)]
+    left = [(i, 500 + rnd.uniform(-2, 5), 500 + rnd.uniform(-2, 5)) for i in range(300)]
+    left += [(1000 + i, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for i in range(100)]
+    assert run(spark, left, right, 15.0) == brute(left, right, 15.0)
