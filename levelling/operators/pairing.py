@@ -8,8 +8,9 @@ point within ``max_distance`` (inclusive) keep NULL pair columns; with
 Plan.  Space is cut into square cells of side ``s``.  Every point within ``s``
 of a left point lies in the 3x3 block of cells around it, so the rows of one
 side are copied to the nine cells around their own and the two tables are
-equi-joined on the cell key (a hash-partitioned shuffle join; no nested loop,
-no cartesian product).  The join is an inner join so that AQE may split a
+equi-joined on the cell key (a hash-partitioned shuffle join, or a broadcast
+of the copies when their count is small; no nested loop, no cartesian
+product).  The join is an inner join so that AQE may split a
 skewed cell on either side; candidates are reduced per left key (partial
 aggregation before the shuffle) and the best one is joined back to the left
 rows.  Only narrow rows (key, distance, right point) are aggregated.
@@ -19,9 +20,10 @@ rows.  Only narrow rows (key, distance, right point) are aggregated.
 * Dense data: when a single round at ``max_distance`` would give more than
   ``DENSE_CANDIDATES`` candidates per left row -- judged from the average
   density and from the densest cell -- cells start small (about 16
-  candidates per row at the peak density) and grow four-fold per round.  A row whose best candidate is within the
-  current cell size is final; only the others go to the next round.  Rounds
-  are separated by reliable checkpoints.
+  candidates per row at the peak density) and grow four-fold per round.
+  A row whose best candidate is within the current cell size is final; only
+  the others go to the next round.  Rounds are separated by reliable
+  checkpoints.
 * The side that is copied nine times is the cheaper one: the right side
   unless it has more than twice the left's rows (rows shuffled: 2L + 9R
   against 18L + R).  When the copies number at most ``BROADCAST_COPY_ROWS``
@@ -236,13 +238,20 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         raise ValueError("payload_out must name every payload column")
     rpts = _right_points(right, right_id, right_x, right_y, payload)
 
-    # One job over both inputs: row counts (which side to copy) and the right
-    # side's bounding box (cell sizes).
+    # One job over both inputs: per-cell counts (cells of side max_distance)
+    # rolled up to row counts (which side to copy), the right side's bounding
+    # box and its densest cell (cell sizes).  Right points are counted after
+    # coordinate de-duplication, as they are joined.
+    cell = float(max_distance) if max_distance > 0 else 1.0
     both = (left.select(F.lit(0).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"))
-            .unionByName(right.select(F.lit(1).alias("s"), F.col(right_x).alias("x"), F.col(right_y).alias("y"))))
-    stats = {r["s"]: r for r in both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-             .groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-                               F.min("y").alias("y0"), F.max("y").alias("y1")).collect()}
+            .unionByName(rpts.select(F.lit(1).alias("s"), F.col("__rx").alias("x"), F.col("__ry").alias("y")))
+            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    per_cell = both.groupBy("s", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.min("y").alias("y0"), F.max("y").alias("y1"))
+    stats = {r["s"]: r for r in per_cell.groupBy("s").agg(
+        F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min("y0").alias("y0"), F.max("y1").alias("y1")).collect()}
     n_left = stats[0]["n"] if 0 in stats else 0
     n_right = stats[1]["n"] if 1 in stats else 0
     if n_right == 0:
@@ -253,12 +262,7 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         skew_rows = 0  # no cell can hold more rows than a whole side: skip the hot-cell job
     if schedule is None:
         st = stats[1]
-        peak = None
-        if max_distance > 0:
-            # densest cell of side max_distance (one aggregate, map-side combined)
-            r = F.lit(float(max_distance))
-            peak = (rpts.groupBy(F.floor(F.col("__rx") / r), F.floor(F.col("__ry") / r)).count()
-                    .agg(F.max("count")).first()[0])
+        peak = st["peak"] if max_distance > 0 else None
         schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), peak)
     schedule = list(schedule)
 
