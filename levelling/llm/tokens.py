@@ -141,3 +141,14 @@ def word_counts(col: pa.Array) -> np.ndarray:
     for lo, hi, data, off in blocks(col):
         out[lo:hi] = np.diff(Words(data, off).off)
     return out
+
+
+def n_words(text):
+    """Spark column: number of words of a text column (null: 0)."""
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("long")
+    def count(col: pa.Array) -> pa.Array:
+        return pa.array(word_counts(col), pa.int64())
+
+    return count(text.cast("binary"))
