@@ -125,6 +125,12 @@ def _descend(a: Tree, b: Tree, lev: int, i, j, same: bool):
     return x, y
 
 
+def _by_radius(r: np.ndarray):
+    """Rows grouped by covering radius, so that one wide node does not widen the reach of all."""
+    group = np.searchsorted([1e-6, RADII[-2]], r)
+    return [np.flatnonzero(group == k) for k in np.unique(group)]
+
+
 def _apart(a: Tree, b: Tree, lev: int, i, j, step: int = 1 << 18):
     ca, cb = a.levels[lev][0], b.levels[lev][0]
     d = np.empty(len(i), np.float32)
@@ -140,8 +146,16 @@ def dual(a: Tree, b: Tree, cos: float) -> list[tuple[np.ndarray, np.ndarray]]:
     same = a is b
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     (ca, _, ra, _), (cb, _, rb, _) = a.levels[0], b.levels[0]
-    reach = ra + (rb.max(initial=0) + t + EPS)
-    i, j = np.nonzero(a.u[ca] @ b.u[cb].T >= (1 - reach * reach / 2)[:, None] - EPS)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for rows in _by_radius(ra):
+        for cols in _by_radius(rb):
+            near = a.u[ca[rows]] @ b.u[cb[cols]].T
+            reach = ra[rows] + (rb[cols].max() + t + EPS)
+            cut = 1 - reach * reach / 2 - EPS
+            hot = np.flatnonzero(near.max(axis=1) >= cut)
+            x, y = np.nonzero(near[hot] >= cut[hot, None])
+            found.append((rows[hot[x]], cols[y]))
+    i, j = (np.concatenate(x) for x in zip(*found))
     if same:
         i, j = i[i <= j], j[i <= j]
     for lev in range(len(a.levels) - 1):
