@@ -212,7 +212,9 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _trees(t: pa.Table) -> list[Tree]:
-    """The blocks of one part, from its rows."""
+    """The blocks of one part, from its rows; none if only the other part sent rows."""
+    if not len(t):
+        return []
     block = t["block"].to_numpy()
     ids, mult = t["rep"].to_numpy(), t["m"].to_numpy()
     exact = directions(matrix(t["vec"], np.float64))

@@ -27,5 +27,7 @@ def matrix(col: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
 
 def directions(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, in double precision and safe against overflow."""
+    if not x.size:
+        return x
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
