@@ -1,13 +1,17 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text (operator 4).
 
-A document is a sparse vector of hashed features: its lower-cased words
-(log counts, scaled to length one) and, in a block of their own, the shares of
-its word shapes and of words that repeat the word before.  One weight vector
+A document is a sparse vector of hashed features: its lower-cased words and
+their stems (first six bytes), as log counts scaled to length one, and, in a
+block of their own, the shares of its word shapes and of words that repeat the
+word before.  One weight vector
 ``w`` is shared by all grades; ``P(grade > k) = sigmoid(w.x - t_k)`` with
 ordered thresholds ``t_1 < t_2 < ...``.  The default grade of a labelled
 document is ``quality + (1 - toxic)``: 2 is clean, 1 has one fault, 0 both.
 
-The model is fitted on at most ``max_labels`` labelled rows (those with the
+In the fit a feature's values are scaled by how unevenly it is spread: the
+log ratio of its smoothed shares among documents of the highest grade and of
+the others, so that telling words learn fast and chance words hardly at all;
+the scale is folded into the weights.  The model is fitted on at most ``max_labels`` labelled rows (those with the
 smallest id hash; a documented bound, so the list of their ids may be
 broadcast).  Their features are written once; every step of the optimiser is a
 Spark job that adds up gradients over the partitions, at most ``GRADIENTS``
@@ -30,11 +34,12 @@ from pyspark.sql import functions as F
 from .store import stash
 from .tokens import Words, blocks, mix
 
-BITS = 17          # hashed features per block
+BITS = 18          # hashed features per block
 GRADIENTS = 8      # partial gradients per step
 STEPS = 60
 RATE = 1.0
-L2 = 1e-6
+L2 = 3e-5
+PRIOR = 5.0        # documents of an average feature mixed into its log ratio
 _U = np.uint64
 
 
@@ -45,12 +50,13 @@ def features(col: pa.Array):
         w = Words(data, off)
         n = np.diff(w.off)
         doc = np.repeat(np.arange(len(n)), n)
-        word = w.hashes()
+        word, stem = w.hashes(), w.stems()
         again = np.zeros(len(word), bool)
         again[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
         key = (doc.astype(np.int64) << (BITS + 1))
         names = np.concatenate([
             key | (word >> _U(64 - BITS)).astype(np.int64),
+            key | (mix(stem ^ _U(0x5EED)) >> _U(64 - BITS)).astype(np.int64),
             key | size | (mix(w.shapes()) >> _U(64 - BITS)).astype(np.int64),
             key[again] | (2 * size - 1)])
         names, count = np.unique(names, return_counts=True)
@@ -128,19 +134,43 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
     n = data.count()
     w, raw = np.zeros(size), np.zeros(top)
     if not n:
+        raw[1:] = -60.0  # all thresholds at zero
         return Model(w, raw)
     spark = docs.sparkSession
     held = data.coalesce(GRADIENTS)
 
+    def spread(batches):
+        total, seen, some = np.zeros((2, size)), np.zeros(2), False
+        for b in batches:
+            low = (b["grade"].to_numpy() < top).astype(int)
+            feat = b["feat"]
+            per = np.diff(feat.offsets.to_numpy())
+            idx, of = feat.flatten().to_numpy(), np.repeat(low, per)
+            for k in (0, 1):
+                total[k] += np.bincount(idx[of == k], minlength=size)
+            seen, some = seen + np.bincount(low, minlength=2), True
+        if some:
+            yield pa.RecordBatch.from_pydict({"c": pa.array([total.tobytes()], pa.binary()),
+                                              "n": pa.array([seen.tobytes()], pa.binary())})
+
+    got = held.mapInArrow(spread, "c binary, n binary").collect()
+    c = sum(np.frombuffer(r["c"]) for r in got).reshape(2, size)
+    share = sum(np.frombuffer(r["n"]) for r in got) / n
+    share = np.clip(share, 1e-3, 1.0)
+    c = (c + PRIOR * share[:, None]) / (c.sum(axis=0) + PRIOR) / share[:, None]
+    scale = np.abs(np.log(c[0] / c[1]))
+    scale_shared = spark.sparkContext.broadcast(scale)
+
     def partial(state):
         def run(batches):
-            w, raw = state.value
+            (w, raw), s = state.value, scale_shared.value
             g, gt, loss, some = np.zeros(size), np.zeros(top), 0.0, False
             for b in batches:
-                feat, val = b["feat"], b["val"].flatten().to_numpy()
+                feat = b["feat"]
                 off = feat.offsets.to_numpy()
                 off = off - off[0]
                 idx = feat.flatten().to_numpy()
+                val = b["val"].flatten().to_numpy() * s[idx]
                 part, by_score, by_raw = gradient(_dot(w, off, idx, val), b["grade"].to_numpy(), raw)
                 g += np.bincount(idx, val * np.repeat(by_score, np.diff(off)), size)
                 gt, loss, some = gt + by_raw, loss + part, True
@@ -158,12 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
         grads = [sum(np.frombuffer(r["g"]) for r in got) / n + L2 * w,
                  sum(np.frombuffer(r["t"]) for r in got) / n]
         rate = RATE * 0.5 * (1 + np.cos(np.pi * (step - 1) / STEPS))
-        for x, g, m, v, scale in ((w, grads[0], state_w[0], state_v[0], 1.0),
-                                  (raw, grads[1], state_w[1], state_v[1], 0.3)):
+        for x, g, m, v, pace in ((w, grads[0], state_w[0], state_v[0], 1.0),
+                                 (raw, grads[1], state_w[1], state_v[1], 0.3)):
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
-            x -= scale * rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-6)
-    return Model(w, raw)
+            x -= pace * rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-6)
+    return Model(w * scale, raw)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", tail: int | None = None,

@@ -197,24 +197,46 @@ def _added(model: Crf, data, off, taken) -> dict[int, list[tuple[str, int, int]]
     cut = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | starts[hit]
                          | (lab[hit] != lab[np.maximum(hit - 1, 0)]))
     for lo, hi in zip(cut, np.append(cut[1:], len(hit))):
-        i, j = hit[lo], hit[hi - 1]
-        row = int(np.searchsorted(off, w.start[i], side="right")) - 1
-        raw = data[w.start[i]:w.end[j]].tobytes().decode("utf-8", "replace")
-        kind = KINDS[lab[i] - 1]
-        body = raw.strip(_EDGE)
-        digits = len(_DIGITS.findall(body))
-        good = {"email": any(True for _ in emails(body)), "ip": bool(re.fullmatch(r"[0-9.]+", body)) and
-                body.count(".") == 3 and fits("ip", body), "card": fits("card", body),
-                "phone": 8 <= digits <= 15 and bool(re.fullmatch(r"\+?[\x20().0-9/-]+", body))}[kind]
-        if not good:
-            continue
-        s = int(char[w.start[i]] - char[off[row]]) + raw.index(body)
-        e = s + len(body)
-        if not taken[row].touches(s, e):
-            out.setdefault(row, []).append((kind, s, e))
+        kind = KINDS[lab[hit[lo]] - 1]
+        row = int(np.searchsorted(off, w.start[hit[lo]], side="right")) - 1
+        for i, j in _pieces(kind, [data[w.start[k]:w.end[k]].tobytes().decode("utf-8", "replace")
+                                   for k in hit[lo:hi]]):
+            first, last = w.start[hit[lo + i]], w.end[hit[lo + j]]
+            raw = data[first:last].tobytes().decode("utf-8", "replace")
+            body = raw.strip(_EDGE)
+            if not _good(kind, body):
+                continue
+            s = int(char[first] - char[off[row]]) + raw.index(body)
+            if not taken[row].touches(s, s + len(body)):
+                out.setdefault(row, []).append((kind, s, s + len(body)))
     return out
 
 
+def _good(kind: str, body: str) -> bool:
+    """Whether a string found by the field can be of its kind."""
+    if kind == "email":
+        return any(True for _ in emails(body))
+    if kind == "ip":
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", body)) and fits("ip", body)
+    if kind == "card":
+        return fits("card", body)
+    return bool(re.fullmatch(r"\+?[\x20().0-9/-]+", body)) and fits("phone", body)
+
+
+def _pieces(kind: str, words: list[str]):
+    """Cut a run of words of one kind, which may hold several spans side by side, at the likely borders."""
+    i, body = 0, words[0].strip(_EDGE)
+    for j in range(1, len(words)):
+        word = words[j].strip(_EDGE)
+        longer = f"{body} {word}"
+        if word[:1] in ("(", "+") or _good(kind, body) and (_good(kind, word) or not _good(kind, longer)):
+            yield i, j - 1
+            i, body = j, word
+        else:
+            body = longer
+    yield i, len(words) - 1
+
+
 def spans_of(col: pa.Array, model: Crf):
     """Per row the spans (kind, start, end, base), by kind as listed, then start."""
     for lo, hi, data, off in blocks(col):
@@ -266,6 +288,11 @@ def redact(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     return docs.withColumn(text_col, clean(F.col(text_col).cast("binary")))
 
 
+def number_of(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def listing(spans: Column, base_only: bool) -> Column:
     """``kind:start:end``, comma-joined."""
     kept = F.filter(spans, lambda x: x["base"]) if base_only else spans

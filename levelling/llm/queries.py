@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_model, ordinal, pii
 from .cover_tree import near_duplicates
 from .entropy_mix import mixed
 from .exact_topk import top_k
+from .ngram_join import jaccard_components
 from .packing import pack
 from .prefix_tree import build, read_back
 from .store import prepare
@@ -38,6 +40,15 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the highest grade of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, _table(spark, sf_dir, "labels"), max_labels=20000)
+    return ordinal.score(docs, model).select(
+        "doc_id", F.col("quality.expected").alias("expected_grade"), F.col("quality.tail").alias("p_top"),
+        (F.col("quality.tail") >= 0.5).alias("kept"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, with segments and revisits, and read back."""
     path = write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
@@ -60,7 +71,28 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    model = pii.train(pii.labelled(spark))
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    base = F.filter("pii", lambda x: x["base"])
+    return found.select(
+        "doc_id", *[pii.number_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listing(F.col("pii"), True).cast("binary"), 256).alias("base_sha256"),
+        pii.listing(F.col("pii"), False).alias("spans"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurrent and smoothed unigram scores of every document."""
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_exact_topk, op2_length_packing, op3_embedding_dedup, op5_warc, op6_prefix_tree,
-        op7_source_mix)}
+        op1_exact_topk, op2_length_packing, op3_embedding_dedup, op4_quality_classifier, op5_warc,
+        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join)}

@@ -106,6 +106,14 @@ class Words:
         total = np.cumsum(_TABLE[_LOWER[self.data]] * up, dtype=_U)
         return _spans(total, self.start, self.end, down)
 
+    def stems(self, size: int = 6) -> np.ndarray:
+        """64-bit hash of the first ``size`` bytes of each lower-cased word."""
+        if not len(self.start):
+            return np.zeros(0, _U)
+        up, down = _powers(len(self.data))
+        total = np.cumsum(_TABLE[_LOWER[self.data]] * up, dtype=_U)
+        return _spans(total, self.start, np.minimum(self.end, self.start + size), down)
+
     def shapes(self) -> np.ndarray:
         """64-bit hash of each word's shape: runs of a, A and 0 written once, other bytes kept."""
         if not len(self.start):
