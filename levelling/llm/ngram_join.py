@@ -46,6 +46,7 @@ from .tokens import Words, blocks, mix
 COUNTER_BITS = 20
 COUNTER_ROWS = 16   # the counters travel in so many pieces
 PARTS = 64
+BUCKETS = 1 << 20   # id buckets of the filter before texts are shuffled for verification
 _U = np.uint64
 _LOW = _U((1 << 56) - 1)
 
@@ -195,6 +196,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         room = 1 + F.least(na - pa_ - 1, nb - pb - 1)
         return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (room >= need(na, nb))
 
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a < b) those that link; suffix filter, then whole sets."""
         c = classes.select("rep", "n", "parts", "digest")
@@ -218,7 +222,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(out["rep"], pa.int64()),
                                                   pa.array(out["keys"], pa.binary())], names=["rep", "keys"])
 
-        full = stash(source.join(wanted, F.col("doc_id") == F.col("rep"))
+        # texts that nobody asks for are dropped before the shuffle: by id bucket, a table of at most BUCKETS rows
+        near = wanted.select(bucket("rep")).distinct()
+        asked = source.withColumn("bucket", bucket("doc_id")).join(F.broadcast(near), "bucket", "left_semi")
+        full = stash(asked.join(wanted, F.col("doc_id") == F.col("rep"))
                      .select("rep", "digest", F.col("text").cast("binary").alias("text"))
                      .mapInArrow(whole, "rep long, keys binary"), "whole")
 
