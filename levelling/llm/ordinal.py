@@ -13,9 +13,9 @@ log ratio of its smoothed shares among documents of the highest grade and of
 the others, so that telling words learn fast and chance words hardly at all;
 the scale is folded into the weights.  The model is fitted on at most ``max_labels`` labelled rows (those with the
 smallest id hash; a documented bound, so the list of their ids may be
-broadcast).  Their features are written once; every step of the optimiser is a
-Spark job that adds up gradients over the partitions, at most ``GRADIENTS``
-partial vectors of fixed size.  Scoring is one pass over whole texts.
+broadcast).  Their features are written once; every step of the
+optimiser is a Spark job that adds up the gradients of at most ``GRADIENTS``
+partitions, and only their sum, of fixed size, reaches the driver.  Scoring is one pass over whole texts.
 
 Defined results: null and empty texts have no features and get the thresholds'
 own probabilities; labels with a null grade, or whose document is missing, are
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .store import stash
 from .tokens import Words, blocks, mix
 
-BITS = 18          # hashed features per block
+BITS = 17          # hashed features per block
 GRADIENTS = 8      # partial gradients per step
 STEPS = 60
 RATE = 1.0
@@ -100,6 +100,29 @@ def gradient(score: np.ndarray, grade: np.ndarray, raw: np.ndarray):
     return -np.log(like).sum(), by_score, by_raw
 
 
+_SUMS = "g binary, t binary"
+
+
+def _sums(g: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    """A long and a short vector as one row."""
+    return pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary()),
+                                       pa.array([t.astype(np.float64).tobytes()], pa.binary())], names=["g", "t"])
+
+
+def _total(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of at most ``GRADIENTS`` such rows; one row of fixed size reaches the driver."""
+    def add(batches):
+        g, t = 0.0, 0.0
+        for b in batches:
+            for x, y in zip(b["g"], b["t"]):
+                g, t = g + np.frombuffer(x.as_buffer(), np.float32), t + np.frombuffer(y.as_buffer(), np.float64)
+        if not np.isscalar(g):
+            yield _sums(g, t)
+
+    r = rows.repartition(1).mapInArrow(add, _SUMS).first()
+    return np.frombuffer(r["g"], np.float32).astype(np.float64), np.frombuffer(r["t"], np.float64)
+
+
 class Model:
     """Weights and raw thresholds; ``top`` is the highest grade."""
 
@@ -150,13 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
                 total[k] += np.bincount(idx[of == k], minlength=size)
             seen, some = seen + np.bincount(low, minlength=2), True
         if some:
-            yield pa.RecordBatch.from_pydict({"c": pa.array([total.tobytes()], pa.binary()),
-                                              "n": pa.array([seen.tobytes()], pa.binary())})
+            yield _sums(total.ravel(), seen)
 
-    got = held.mapInArrow(spread, "c binary, n binary").collect()
-    c = sum(np.frombuffer(r["c"]) for r in got).reshape(2, size)
-    share = sum(np.frombuffer(r["n"]) for r in got) / n
-    share = np.clip(share, 1e-3, 1.0)
+    c, share = _total(held.mapInArrow(spread, _SUMS))
+    c, share = c.reshape(2, size), np.clip(share / n, 1e-3, 1.0)
     c = (c + PRIOR * share[:, None]) / (c.sum(axis=0) + PRIOR) / share[:, None]
     scale = np.abs(np.log(c[0] / c[1]))
     scale_shared = spark.sparkContext.broadcast(scale)
@@ -164,29 +184,26 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
     def partial(state):
         def run(batches):
             (w, raw), s = state.value, scale_shared.value
-            g, gt, loss, some = np.zeros(size), np.zeros(top), 0.0, False
+            g, gt, some = np.zeros(size), np.zeros(top), False
             for b in batches:
                 feat = b["feat"]
                 off = feat.offsets.to_numpy()
                 off = off - off[0]
                 idx = feat.flatten().to_numpy()
                 val = b["val"].flatten().to_numpy() * s[idx]
-                part, by_score, by_raw = gradient(_dot(w, off, idx, val), b["grade"].to_numpy(), raw)
+                _, by_score, by_raw = gradient(_dot(w, off, idx, val), b["grade"].to_numpy(), raw)
                 g += np.bincount(idx, val * np.repeat(by_score, np.diff(off)), size)
-                gt, loss, some = gt + by_raw, loss + part, True
+                gt, some = gt + by_raw, True
             if some:
-                yield pa.RecordBatch.from_pydict({
-                    "loss": [loss], "g": pa.array([g.tobytes()], pa.binary()),
-                    "t": pa.array([gt.tobytes()], pa.binary())})
+                yield _sums(g, gt)
         return run
 
     state_w, state_v = [np.zeros(size), np.zeros(top)], [np.zeros(size), np.zeros(top)]
     for step in range(1, STEPS + 1):
         state = spark.sparkContext.broadcast((w, raw))
-        got = held.mapInArrow(partial(state), "loss double, g binary, t binary").collect()
+        g, gt = _total(held.mapInArrow(partial(state), _SUMS))
         state.unpersist()
-        grads = [sum(np.frombuffer(r["g"]) for r in got) / n + L2 * w,
-                 sum(np.frombuffer(r["t"]) for r in got) / n]
+        grads = [g / n + L2 * w, gt / n]
         rate = RATE * 0.5 * (1 + np.cos(np.pi * (step - 1) / STEPS))
         for x, g, m, v, pace in ((w, grads[0], state_w[0], state_v[0], 1.0),
                                  (raw, grads[1], state_w[1], state_v[1], 0.3)):
