@@ -1,6 +1,6 @@
 """Plan checks over every registered query."""
 
-import __spark_entry__ as se
+from levelling.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {"height_service", "grid_heights"}  # caller-supplied service runs in mapInPandas
@@ -8,7 +8,7 @@ PYTHON_ALLOWED = {"height_service", "grid_heights"}  # caller-supplied service r
 
 def test_plans_have_no_nested_loops_and_no_stray_python(spark):
     bad = []
-    for name, fn in se.queries().items():
+    for name, fn in catalog.queries().items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append((name, "nested loop"))
@@ -20,5 +20,5 @@ def test_plans_have_no_nested_loops_and_no_stray_python(spark):
 
 
 def test_scan_prunes_columns(spark):
-    plan = se.queries()["compare_file"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()["compare_file"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
