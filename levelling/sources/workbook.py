@@ -23,9 +23,9 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .delimited import UNIT_SEP as CELL_SEP
 from .delimited import parse_points, parse_scope
 
-CELL_SEP = "\x1f"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
@@ -97,7 +97,8 @@ def _decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({
                 "source_file": [path] * len(cells),
                 "line_no": list(range(1, len(cells) + 1)),
-                "value": [CELL_SEP.join("" if v is None else v for v in row) for row in cells],
+                "value": [CELL_SEP.join("" if v is None else v.replace(CELL_SEP, " ") for v in row)
+                          for row in cells],
             })
 
 
@@ -106,7 +107,8 @@ def read_workbook_lines(spark: SparkSession, paths: str | Sequence[str]) -> Data
     ship_package(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_decode, "source_file string, line_no long, value string")
+    # stored once: the sniffing and parsing jobs would each decode the workbooks again
+    return files.mapInPandas(_decode, "source_file string, line_no long, value string").checkpoint()
 
 
 def read_workbook_points(spark: SparkSession, paths, **kw) -> DataFrame:

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +46,13 @@ def start_compare_stream(points: DataFrame, sink_path: str, *, key: str,
     """Run ``pipelines.compare`` on every micro-batch of ``points``.
 
     The checkpoint location defaults to a folder under the session's
-    checkpoint directory.
+    checkpoint directory that is named after the sink, so that a restarted
+    stream finds its own and two streams never share one.
     """
     spark = points.sparkSession
     if checkpoint_location is None:
-        checkpoint_location = os.path.join(ensure_checkpoint_dir(spark), "compare-stream")
+        name = hashlib.sha256(sink_path.encode()).hexdigest()[:16]
+        checkpoint_location = f"{ensure_checkpoint_dir(spark)}/compare-stream-{name}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         res = compare(batch, key=key, reference=reference, heights=heights, sort=False, keep=[key],
