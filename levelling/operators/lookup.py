@@ -13,25 +13,34 @@ Heights are keyed by EPSG 2180 coordinates in whole centimetres
 
 from __future__ import annotations
 
+import math
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from http.client import HTTPException
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import NUMERIC_TEXT
+
 # Fixed values of the service protocol.
 BATCH_SIZE = 300
 MAX_ATTEMPTS = 5
+MAX_REQUESTS = 50  # concurrent requests of the whole job
+REQUEST_TASKS = 10
 
 KEY = ["n_cm", "e_cm"]
-RESULT_SCHEMA = "n_cm long, e_cm long, h_ref double, pass_no int, batch_no long, pos int"
+RESULT_SCHEMA = "n_cm long, e_cm long, h_ref double, pass_no int, batch_no long, pos int, failed boolean"
 
 
 def centimetres(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.rint(c * F.lit(100.0)).cast("bigint")
+    cm = F.rint(c * F.lit(100.0))
+    return F.when(F.abs(cm) < F.lit(9.0e18), cm).try_cast("bigint")
 
 
 def with_height_key(df: DataFrame, e: str = "e_1992", n: str = "n_1992") -> DataFrame:
@@ -49,9 +58,15 @@ def cm_text(c: Column | str) -> Column:
 
 
 def join_heights(points: DataFrame, heights: DataFrame, out: str = "h_ref",
-                 zero_is_missing: bool = False) -> DataFrame:
-    """Left join of keyed points with a height table (one row per key)."""
-    h = heights.select(*KEY, F.col("h_ref").alias(out))
+                 zero_is_missing: bool = False, order: str | None = None) -> DataFrame:
+    """Left join of keyed points with a height table; every point stays one row.
+
+    Of several rows with one key the last in ``order`` counts, without an
+    order column the greatest height.  The reduction shuffles the table on
+    the join key, so the join needs no further exchange of that side.
+    """
+    last = F.max_by("h_ref", F.col(order)) if order else F.max("h_ref")
+    h = heights.groupBy(*KEY).agg(last.alias(out))
     if zero_is_missing:
         h = h.where(F.col(out) != 0.0)
     return points.join(h, KEY, "left")
@@ -65,16 +80,18 @@ def missing_heights(points: DataFrame, heights: DataFrame) -> DataFrame:
 def parse_response(df: DataFrame, text: str = "response", keep: Sequence[str] = ()) -> DataFrame:
     """Service answer ``"n e h,n e h,..."`` to rows (n_cm, e_cm, h_ref, pos).
 
-    Entries without exactly three tokens are skipped; an unparsable height
-    reads as 0.0, as in the reference.
+    White space of any kind separates tokens.  Entries without exactly three
+    tokens are skipped; an unparsable height reads as 0.0, as in the
+    reference, and only plain decimal or exponent notation parses.
     """
-    parts = F.posexplode(F.split(F.trim(F.col(text)), ","))
-    rows = df.select(*keep, parts.alias("pos", "entry"))
-    tok = F.split(F.trim(F.col("entry")), r"\s+")
-    rows = rows.withColumn("__t", tok).where(F.size("__t") == 3)
-    n = F.col("__t")[0].try_cast("double")
-    e = F.col("__t")[1].try_cast("double")
-    h = F.coalesce(F.col("__t")[2].try_cast("double"), F.lit(0.0))
+    def number(c: Column) -> Column:
+        return F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double"))
+
+    rows = df.select(*keep, F.posexplode(F.split(F.col(text), ",")).alias("pos", "entry"))
+    bare = F.regexp_replace(F.col("entry"), r"^\s+|\s+$", "")
+    rows = rows.withColumn("__t", F.split(bare, r"\s+")).where(F.size("__t") == 3)
+    n, e = number(F.col("__t")[0]), number(F.col("__t")[1])
+    h = F.coalesce(number(F.col("__t")[2]), F.lit(0.0))
     return rows.select(*keep, centimetres(n).alias("n_cm"), centimetres(e).alias("e_cm"),
                        h.alias("h_ref"), F.col("pos").cast("int").alias("pos"))
 
@@ -96,105 +113,131 @@ def request_batches(keys: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
 
 
 def last_answer_wins(answers: DataFrame) -> DataFrame:
-    """One height per key: the answer of the latest (pass, batch, position)."""
+    """One height per key: the answer of the latest (pass, batch, position).
+
+    Rows that stand for failed requests (``failed``) are no answers.
+    """
+    if "failed" in answers.columns:
+        answers = answers.where(~F.col("failed"))
     return answers.groupBy(*KEY).agg(
         F.max_by("h_ref", F.struct("pass_no", "batch_no", "pos")).alias("h_ref"))
 
 
 def all_zero_batches(answers: DataFrame) -> DataFrame:
     """Per (pass, batch): whether every returned height is 0.0."""
+    if "failed" in answers.columns:
+        answers = answers.where(~F.col("failed"))
     return answers.groupBy("pass_no", "batch_no").agg(F.bool_and(F.col("h_ref") == 0.0).alias("all_zero"))
 
 
 # --- caller-supplied service -------------------------------------------------------
 
+_NUMBER = re.compile(NUMERIC_TEXT)
+
+
+def _number(token: str) -> float | None:
+    """A token in plain decimal or exponent notation with a finite value."""
+    value = float(token) if _NUMBER.match(token) else None
+    return value if value is not None and math.isfinite(value) else None
+
+
 def parse_answer(text: str) -> list[tuple[int, int, float]]:
     """Python twin of ``parse_response`` used inside tasks."""
     out = []
-    if not text or not text.strip():
-        return out
-    for entry in text.strip().split(","):
-        parts = entry.strip().split()
+    for entry in (text or "").split(","):
+        parts = entry.split()
         if len(parts) != 3:
             continue
-        try:
-            n = round(float(parts[0]) * 100)
-            e = round(float(parts[1]) * 100)
-        except ValueError:
-            continue
-        try:
-            h = float(parts[2])
-        except ValueError:
-            h = 0.0
-        out.append((n, e, h))
+        n, e, h = (_number(p) for p in parts)
+        if n is not None and e is not None:
+            out.append((round(n * 100), round(e * 100), 0.0 if h is None else h))
     return out
 
 
 def fetch_with_retry(fetch: Callable[[list[tuple[float, float]]], str],
                      batch: list[tuple[float, float]], attempts: int = MAX_ATTEMPTS,
                      backoff: float = 0.0) -> list[tuple[int, int, float]]:
-    """Retry policy of the reference: retry on error, empty answer or all-zero
-    heights (an all-zero answer is accepted on the last attempt); nothing if all fail."""
+    """Up to ``attempts`` requests until an answer holds a height other than zero.
+
+    A transport error (``OSError``, which covers connection and time-out
+    errors, or ``HTTPException``), an empty or unreadable answer and one with
+    zero heights only are all tried again; heights of the last attempt count
+    even if all are zero.  Any other exception is an error in ``fetch`` and
+    is raised.  An empty list: every attempt failed.
+    """
+    rows: list[tuple[int, int, float]] = []
     for attempt in range(1, attempts + 1):
         try:
-            text = fetch(batch)
-        except Exception:  # noqa: BLE001 - any transport error is retried
-            text = None
-        if text is not None and text.strip():
-            rows = parse_answer(text)
-            if rows and all(h == 0.0 for _, _, h in rows) and attempt < attempts:
-                pass
-            else:
-                return rows
+            rows = parse_answer(fetch(batch))
+        except (OSError, HTTPException):
+            rows = []
+        if any(h != 0.0 for _, _, h in rows):
+            break
         if backoff and attempt < attempts:
             time.sleep(backoff * attempt)
-    return []
+    return rows
 
 
 def _service_task(fetch, pass_no: int, batch_size: int, attempts: int, threads: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = 0
+        base = TaskContext.get().partitionId() << 32  # batch numbers differ between tasks
 
         def one(b):
             return fetch_with_retry(fetch, b, attempts)
 
         with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
             for pdf in it:  # one Arrow batch at a time: memory stays bounded
-                n_cm = pdf["n_cm"].tolist()
-                e_cm = pdf["e_cm"].tolist()
-                batches = [[(e / 100.0, n / 100.0) for n, e in zip(n_cm[i:i + batch_size], e_cm[i:i + batch_size])]
-                           for i in range(0, len(n_cm), batch_size)]
-                for answer in pool.map(one, batches):
-                    if answer:
-                        n, e, h = zip(*answer)
-                        yield pd.DataFrame({"n_cm": list(n), "e_cm": list(e), "h_ref": list(h),
-                                            "pass_no": pass_no, "batch_no": base,
-                                            "pos": list(range(len(answer)))})
+                keys = list(zip(pdf["n_cm"].tolist(), pdf["e_cm"].tolist()))
+                parts = [keys[i:i + batch_size] for i in range(0, len(keys), batch_size)]
+                answers = pool.map(one, [[(e / 100.0, n / 100.0) for n, e in p] for p in parts])
+                for part, answer in zip(parts, answers):
+                    rows = answer or [(n, e, None) for n, e in part]
+                    n, e, h = zip(*rows)
+                    yield pd.DataFrame({"n_cm": n, "e_cm": e, "h_ref": pd.Series(h, dtype="float64"),
+                                        "pass_no": pass_no, "batch_no": base, "pos": range(len(rows)),
+                                        "failed": not answer})
                     base += 1
     return run
 
 
-def fetch_heights(keys: DataFrame, fetch: Callable[[list[tuple[float, float]]], str], *,
-                  tasks: int | None = None, batch_size: int = BATCH_SIZE,
-                  attempts: int = MAX_ATTEMPTS, threads_per_task: int = 4) -> DataFrame:
-    """Heights for the distinct keys of ``keys`` from ``fetch``.
+def fetch_answers(keys: DataFrame, fetch: Callable[[list[tuple[float, float]]], str], *,
+                  tasks: int = REQUEST_TASKS, batch_size: int = BATCH_SIZE,
+                  attempts: int = MAX_ATTEMPTS, threads_per_task: int | None = None) -> DataFrame:
+    """All answers of ``fetch`` for the distinct keys of ``keys``, both passes.
 
     ``fetch`` receives ``[(easting, northing), ...]`` in metres (at most
-    ``batch_size`` points) and returns the service text.  ``tasks`` bounds
-    the number of concurrent request streams.  Returns n_cm, e_cm, h_ref.
+    ``batch_size`` points) and returns the service text.  ``tasks`` request
+    streams run side by side, each with ``threads_per_task`` requests; by
+    default ``MAX_REQUESTS`` in all.  Keys without an answer are asked again
+    in a second pass.  Both passes are checkpointed, so every key is asked
+    once per pass however often the result is used.  Keys of requests that
+    failed to the end are rows with ``failed`` set and no height.
     """
     spark = keys.sparkSession
     from ..session import ship_package
     ship_package(spark)
-    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    threads = threads_per_task or max(1, MAX_REQUESTS // tasks)
     d = keys.select(*KEY).where(F.col("n_cm").isNotNull() & F.col("e_cm").isNotNull()).distinct()
-    # A fixed number of request streams: a numbered round-robin repartition is
-    # never coalesced by AQE (and is made deterministic by a local sort).
-    d = d.repartition(n)
-    first = d.mapInPandas(_service_task(fetch, 1, batch_size, attempts, threads_per_task),
-                          RESULT_SCHEMA)
-    first = first.checkpoint()  # answers of a remote service must not be re-requested
-    missing = d.join(first.select(*KEY), KEY, "left_anti").repartition(n)
-    second = missing.mapInPandas(_service_task(fetch, 2, batch_size, attempts, threads_per_task),
-                                 RESULT_SCHEMA)
-    return last_answer_wins(first.unionByName(second))
+
+    def ask(rows: DataFrame, pass_no: int) -> DataFrame:
+        # a numbered round-robin repartition is never coalesced by AQE
+        return rows.repartition(tasks).mapInPandas(
+            _service_task(fetch, pass_no, batch_size, attempts, threads), RESULT_SCHEMA).checkpoint()
+
+    first = ask(d, 1)
+    missing = d.join(first.where(~F.col("failed")).select(*KEY), KEY, "left_anti")
+    return first.unionByName(ask(missing, 2))
+
+
+def failed_keys(answers: DataFrame) -> DataFrame:
+    """Keys whose requests failed in the last pass, with pass and batch."""
+    found = answers.where(~F.col("failed")).select(*KEY)
+    lost = answers.where(F.col("failed")).groupBy(*KEY).agg(
+        F.max(F.struct("pass_no", "batch_no")).alias("b"))
+    return lost.join(found, KEY, "left_anti").select(*KEY, "b.pass_no", "b.batch_no")
+
+
+def fetch_heights(keys: DataFrame, fetch: Callable[[list[tuple[float, float]]], str],
+                  **options) -> DataFrame:
+    """Heights (n_cm, e_cm, h_ref) for the distinct keys of ``keys``; options of ``fetch_answers``."""
+    return last_answer_wins(fetch_answers(keys, fetch, **options))
