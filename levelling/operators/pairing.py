@@ -26,14 +26,15 @@ rows.  Only narrow rows (key, distance, right point) are aggregated.
   checkpoints.
 * The side that is copied nine times is the cheaper one: the right side
   unless it has more than twice the left's rows (rows shuffled: 2L + 9R
-  against 18L + R).  When the copies number at most ``BROADCAST_COPY_ROWS``
-  (a count known before the join) they are broadcast and the other side is
+  against 18L + R).  When the copies take at most ``BROADCAST_COPY_BYTES``
+  (measured before the join) they are broadcast and the other side is
   joined where it lies, without a shuffle; later rounds re-decide from the
   count of rows still pending.
-* Hot cells: cells with more than ``skew_rows`` rows on either side are
-  split by a salt (left rows by key hash, right rows by point hash) and the
-  other side of that cell is copied to every salt.  The hot-cell list is
-  read from one aggregate and bounded before it is broadcast.
+* Hot cells: cells with more than ``skew_rows`` rows on a side, or with too
+  many pairs, are split by a salt (left rows by key hash, right rows by point
+  hash) and the other side of that cell is copied to every salt.
+* The right points are stored once, after duplicates are collapsed, and read
+  by the statistics, the hot-cell count and every round.
 """
 
 from __future__ import annotations
@@ -47,21 +48,49 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
 
-# Largest number of hot cells that are salted individually; the list is
-# broadcast, so it must stay small.  Cells past the limit are still joined,
-# only without a salt.
-MAX_HOT_CELLS = 10_000
 DEFAULT_SKEW_ROWS = 2_000_000
+# A cell may give skew_rows * PAIRS_PER_ROW candidate pairs before it is split.
+PAIRS_PER_ROW = 500
 GROWTH = 4.0
 DENSE_CANDIDATES = 256.0
 # The copied side is broadcast (and the other side joined where it lies,
-# without a shuffle) when its nine copies number at most this many rows;
-# the count is known before the join is planned.
-BROADCAST_COPY_ROWS = 1_000_000
+# without a shuffle) when its nine copies take at most this many bytes: rows
+# of fixed width plus the text they carry, both counted before the join is
+# planned.
+BROADCAST_COPY_BYTES = 96 << 20
+_ROW_BYTES = 72
+
+# Types whose values take the same few bytes in every row.
+_FIXED = {"byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
 
 _OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
+class DuplicateKeyError(ValueError):
+    pass
+
+
+def check_key(df: DataFrame, key: Sequence[str]) -> None:
+    """Raise if two rows share a key or a key is null (one map-side-combined count of narrow rows)."""
+    null = F.lit(False)
+    for k in key:
+        null = null | F.col(k).isNull()
+    bad = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > 1) | null)
+           .select(*key).limit(1).collect())
+    if bad:
+        raise DuplicateKeyError(f"{', '.join(key)} does not identify rows: {tuple(bad[0])} is null or repeated")
+
+
+def _located(x: str, y: str) -> Column:
+    """True when both coordinates are finite numbers."""
+    inf = F.lit(float("inf"))
+
+    def finite(c):
+        v = F.col(c).cast("double")
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf)
+    return finite(x) & finite(y)
+
+
 @dataclass(frozen=True)
 class PairColumns:
     """Names of the columns added to the left table."""
@@ -109,40 +138,42 @@ def cell_schedule(max_distance: float, right_count: int, right_area: float,
 def _right_points(right: DataFrame, rid: str, rx: str, ry: str, payload: list[str]) -> DataFrame:
     """One row per distinct right coordinate, carrying the smallest id."""
     best = F.min(F.struct(F.col(rid).alias("i"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(payload)]))
-    g = (right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull())
+    g = (right.where(_located(rx, ry))
          .groupBy(F.col(rx).alias("__rx"), F.col(ry).alias("__ry")).agg(best.alias("__r")))
     return g.select("__rx", "__ry", F.col("__r.i").alias("__rid"),
                     *[F.col(f"__r.p{n}").alias(f"__rp{n}") for n in range(len(payload))])
 
 
 def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int, replicate_left: bool):
-    """Cells with more than ``skew_rows`` rows on either side, with salt factors.
+    """Cells too heavy for one task, with the salts of either side; None if there are none.
 
-    One aggregate over both inputs (left rows and right points by home
-    cell); the result is bounded by ``MAX_HOT_CELLS`` before it is broadcast.
+    A side is split into parts of ``skew_rows`` rows; where the product of
+    what is left still exceeds ``skew_rows * PAIRS_PER_ROW`` pairs, the
+    larger side is split further.  All such cells are treated: the table is
+    joined, by broadcast only if Spark measures it small.
     """
-    spark = lcells.sparkSession
-    both = (lcells.select("__gx", "__gy", F.lit(0).alias("__side"))
+    both = (lcells.select("__gx", "__gy", F.lit(1).alias("l"), F.lit(0).alias("r"))
             .unionByName(rpts.select(F.floor(F.col("__rx") / size).alias("__gx"),
-                                     F.floor(F.col("__ry") / size).alias("__gy"), F.lit(1).alias("__side"))))
-    rows = (both.groupBy("__gx", "__gy", "__side").count().where(F.col("count") > skew_rows)
-            .orderBy(F.desc("count")).limit(MAX_HOT_CELLS).collect())
-    factors: dict[tuple[int, int], list[int]] = {}
-    for r in rows:
-        factors.setdefault((r["__gx"], r["__gy"]), [1, 1])[r["__side"]] = int(math.ceil(r["count"] / skew_rows))
-    if not factors:
-        return None
-    # The copied side also lands in the eight neighbour cells: salt those too.
-    copied = 0 if replicate_left else 1
-    expanded: dict[tuple[int, int], list[int]] = {}
-    for (gx, gy), f in factors.items():
-        for dx, dy in _OFFSETS:
-            e = expanded.setdefault((gx + dx, gy + dy), [1, 1])
-            e[copied] = max(e[copied], f[copied])
-        home = expanded[(gx, gy)]
-        home[1 - copied] = max(home[1 - copied], f[1 - copied])
-    rows = [(gx, gy, fl, fr) for (gx, gy), (fl, fr) in expanded.items() if fl > 1 or fr > 1]
-    return spark.createDataFrame(rows[:MAX_HOT_CELLS * 9], "__gx long, __gy long, __fl int, __fr int")
+                                     F.floor(F.col("__ry") / size).alias("__gy"),
+                                     F.lit(0).alias("l"), F.lit(1).alias("r"))))
+    n = both.groupBy("__gx", "__gy").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    n = n.withColumns({"fl": F.greatest(F.lit(1), F.ceil(F.col("l") / skew_rows)),
+                       "fr": F.greatest(F.lit(1), F.ceil(F.col("r") / skew_rows))})
+    pairs = (F.col("l") / F.col("fl")) * (F.col("r") / F.col("fr"))
+    more = F.greatest(F.lit(1), F.ceil(pairs / (float(skew_rows) * PAIRS_PER_ROW)))
+    wide = F.col("l") / F.col("fl") >= F.col("r") / F.col("fr")
+    n = n.select("__gx", "__gy", (F.col("fl") * F.when(wide, more).otherwise(1)).alias("fl"),
+                 (F.col("fr") * F.when(wide, 1).otherwise(more)).alias("fr")).where("fl > 1 or fr > 1")
+    # the copied side also lands in the eight neighbour cells: salt those too
+    copied, home = ("fl", "fr") if replicate_left else ("fr", "fl")
+    cell = F.explode(F.array(*[F.struct((F.col("__gx") + dx).alias("gx"), (F.col("__gy") + dy).alias("gy"),
+                                        F.lit(dx == dy == 0).alias("own")) for dx, dy in _OFFSETS])).alias("c")
+    e = (n.select(cell, copied, home)
+         .groupBy(F.col("c.gx").alias("__gx"), F.col("c.gy").alias("__gy"))
+         .agg(F.max(copied).cast("int").alias(f"__{copied}"),
+              F.max(F.when(F.col("c.own"), F.col(home)).otherwise(1)).cast("int").alias(f"__{home}"))
+         .checkpoint())
+    return None if e.isEmpty() else e
 
 
 def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str, y: str,
@@ -152,7 +183,7 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
     size = F.lit(float(s))
     lft = pending.select(F.floor(F.col(x) / size).alias("__gx"), F.floor(F.col(y) / size).alias("__gy"),
                          *[F.col(k) for k in key], F.col(x).alias("__lx"), F.col(y).alias("__ly"))
-    lft = lft.where(F.col("__gx").isNotNull() & F.col("__gy").isNotNull())
+    lft = lft.where(_located("__lx", "__ly"))
     rgt = rpts.select(F.floor(F.col("__rx") / size).alias("__gx"), F.floor(F.col("__ry") / size).alias("__gy"),
                       "__rx", "__ry", "__rid", *[f"__rp{n}" for n in range(n_payload)])
     # A broadcast join has no cell partitions, so no cell can hold a task.
@@ -173,12 +204,11 @@ def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str
 
     join_keys = ["__gx", "__gy"]
     if hot is not None:
-        hb = F.broadcast(hot)  # bounded list of hot cells
-        lft = (lft.join(hb, join_keys, "left")
+        lft = (lft.join(hot, join_keys, "left")
                .withColumn("__sl", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.coalesce("__fl", F.lit(1))))
                .withColumn("__sr", F.explode(F.sequence(F.lit(0), F.coalesce("__fr", F.lit(1)) - 1)))
                .drop("__fl", "__fr"))
-        rgt = (rgt.join(hb, join_keys, "left")
+        rgt = (rgt.join(hot, join_keys, "left")
                .withColumn("__sr", F.pmod(F.xxhash64("__rid", "__rx", "__ry"), F.coalesce("__fr", F.lit(1))))
                .withColumn("__sl", F.explode(F.sequence(F.lit(0), F.coalesce("__fl", F.lit(1)) - 1)))
                .drop("__fl", "__fr"))
@@ -222,35 +252,48 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
                  right_id: str = "id", right_x: str = "x", right_y: str = "y",
                  right_payload: Sequence[str] = (), payload_out: Sequence[str] | None = None,
                  names: PairColumns = PairColumns(), skew_rows: int = DEFAULT_SKEW_ROWS,
-                 schedule: Sequence[float] | None = None) -> DataFrame:
+                 schedule: Sequence[float] | None = None, unique: bool = False) -> DataFrame:
     """Left rows with their nearest right point (``max_distance == 0``: no limit).
 
-    ``key`` must identify left rows uniquely (no NULLs).  Added columns:
+    ``key`` must identify left rows uniquely (no NULLs), which is checked
+    unless ``unique`` vouches for it.  Rows without finite coordinates keep
+    NULL pair columns.  Added columns:
     ``names.id/x/y``, ``payload_out`` (the right payload columns, in order)
     and ``names.distance`` (unrounded).
     """
-    if max_distance < 0:
-        raise ValueError("max_distance must be >= 0")
+    if not 0 <= max_distance < math.inf:
+        raise ValueError("max_distance must be a number >= 0")
     key = _as_list(key)
+    if not unique:
+        check_key(left, key)
     payload = list(right_payload)
     payload_out = list(payload_out) if payload_out is not None else [f"{names.id}_{c}" for c in payload]
     if len(payload_out) != len(payload):
         raise ValueError("payload_out must name every payload column")
-    rpts = _right_points(right, right_id, right_x, right_y, payload)
+    rpts = _right_points(right, right_id, right_x, right_y, payload).checkpoint()
 
     # One job over both inputs: per-cell counts (cells of side max_distance)
     # rolled up to row counts (which side to copy), the right side's bounding
     # box and its densest cell (cell sizes).  Right points are counted after
     # coordinate de-duplication, as they are joined.
     cell = float(max_distance) if max_distance > 0 else 1.0
-    both = (left.select(F.lit(0).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"))
-            .unionByName(rpts.select(F.lit(1).alias("s"), F.col("__rx").alias("x"), F.col("__ry").alias("y")))
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+
+    def text_bytes(df: DataFrame, cols: Sequence[str]) -> Column:
+        found = [c for c in cols if df.schema[c].dataType.typeName() not in _FIXED]
+        return sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in found], F.lit(0))
+
+    both = (left.select(F.lit(0).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"),
+                        text_bytes(left, key).alias("b"))
+            .unionByName(rpts.select(F.lit(1).alias("s"), F.col("__rx").alias("x"), F.col("__ry").alias("y"),
+                                     text_bytes(rpts, ["__rid", *[f"__rp{n}" for n in range(len(payload))]])
+                                     .alias("b")))
+            .where(_located("x", "y")))
     per_cell = both.groupBy("s", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"),
         F.min("y").alias("y0"), F.max("y").alias("y1"))
     stats = {r["s"]: r for r in per_cell.groupBy("s").agg(
-        F.sum("n").alias("n"), F.max("n").alias("peak"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("peak"), F.min("x0").alias("x0"),
+        F.max("x1").alias("x1"),
         F.min("y0").alias("y0"), F.max("y1").alias("y1")).collect()}
     n_left = stats[0]["n"] if 0 in stats else 0
     n_right = stats[1]["n"] if 1 in stats else 0
@@ -258,30 +301,36 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
         return _finish(left.withColumn("__best", F.lit(None).cast(_best_type(right, right_id, right_x, right_y, payload))),
                        names, payload_out)
     replicate_left = n_right > 2 * n_left  # rows shuffled: 18L + R against 2L + 9R
-    if n_left <= skew_rows and n_right <= skew_rows:
-        skew_rows = 0  # no cell can hold more rows than a whole side: skip the hot-cell job
+    # a cell of a round lies in at most four of the counted cells
+    most = ([4 * stats[s]["peak"] if s in stats else 0 for s in (0, 1)] if max_distance > 0 else [n_left, n_right])
+    if max(most) <= skew_rows and most[0] * most[1] <= skew_rows * PAIRS_PER_ROW:
+        skew_rows = 0  # no cell can be too heavy: skip the hot-cell job
     if schedule is None:
         st = stats[1]
         peak = st["peak"] if max_distance > 0 else None
         schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), peak)
     schedule = list(schedule)
 
-    def small(n_copied: int) -> bool:
-        return 9 * n_copied <= BROADCAST_COPY_ROWS
+    width = {s: _ROW_BYTES + (stats[s]["b"] / stats[s]["n"] if s in stats else 0) for s in (0, 1)}
+
+    def small(n_copied: int, side: int) -> bool:
+        return 9 * n_copied * width[side] <= BROADCAST_COPY_BYTES
 
     if max_distance > 0 and len(schedule) == 1:
-        bc = small(n_left if replicate_left else n_right)
+        bc = small(n_left, 0) if replicate_left else small(n_right, 1)
         return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows, replicate_left, bc),
                        names, payload_out)
 
+    # rows without coordinates can never be resolved: they take no part in the rounds
+    lost = left.where(~_located(x, y))
     done: list[DataFrame] = []
-    pending = left
+    pending = left.where(_located(x, y))
     n_pending = n_left
     s = schedule[0]
     i = 0
     while True:
         copy_left = n_right > 2 * n_pending
-        bc = small(n_pending if copy_left else n_right)
+        bc = small(n_pending, 0) if copy_left else small(n_right, 1)
         out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows, copy_left, bc).checkpoint()
         done.append(out.where(F.col("__best").isNotNull()))
         pending = out.where(F.col("__best").isNull()).drop("__best")
@@ -296,8 +345,8 @@ def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
             if n_pending == 0:
                 break
             s = s * GROWTH
-    result = done[0]
-    for part in done[1:]:
+    result = lost.withColumn("__best", F.lit(None).cast(out.schema["__best"].dataType))
+    for part in done:
         result = result.unionByName(part)
     return _finish(result, names, payload_out)
 
@@ -310,7 +359,7 @@ def _best_type(right: DataFrame, rid: str, rx: str, ry: str, payload: list[str])
     return "struct<" + ",".join(f.replace(" ", ":") for f in fields) + ">"
 
 
-def mutual_pairs(left: DataFrame, right: DataFrame, max_distance: float, *,
+def mutual_pairs(left: DataFrame, right: DataFrame, max_distance: float, *, unique: bool = False,
                  left_key: str, right_key: str, x: str = "x", y: str = "y",
                  skew_rows: int = DEFAULT_SKEW_ROWS) -> DataFrame:
     """Pairs that are each other's nearest point (ties by distance, then id).
@@ -319,10 +368,10 @@ def mutual_pairs(left: DataFrame, right: DataFrame, max_distance: float, *,
     """
     a = nearest_pair(left.select(left_key, x, y), right.select(right_key, x, y), max_distance,
                      key=left_key, x=x, y=y, right_id=right_key,
-                     names=PairColumns("__nid", "__nx", "__ny", "__nd"), skew_rows=skew_rows)
+                     names=PairColumns("__nid", "__nx", "__ny", "__nd"), skew_rows=skew_rows, unique=unique)
     b = nearest_pair(right.select(right_key, x, y), left.select(left_key, x, y), max_distance,
                      key=right_key, x=x, y=y, right_id=left_key,
-                     names=PairColumns("__mid", "__mx", "__my", "__md"), skew_rows=skew_rows)
+                     names=PairColumns("__mid", "__mx", "__my", "__md"), skew_rows=skew_rows, unique=unique)
     a = a.where(F.col("__nid").isNotNull()).select(F.col(left_key).alias("__l"), F.col("__nid").alias("__r"),
                                                     F.col("__nd").alias("distance"))
     b = b.where(F.col("__mid").isNotNull()).select(F.col(right_key).alias("__r"), F.col("__mid").alias("__l"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 
@@ -60,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; set it to a shared folder of the cluster")
     path = tempfile.mkdtemp(prefix="levelling-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -73,15 +74,19 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small input stored as one file with one row group is read by one task;
     row-heavy work on it (projection, the cell join) would then run on one
-    core.  Large inputs already have many splits and pass through unchanged,
-    so no shuffle is added at scale.
+    core.  Inputs above ``SPREAD_BYTES`` pass through unchanged, whatever the
+    size of the cluster.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) <= SPREAD_BYTES and df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
 
 
+SPREAD_BYTES = 512 << 20  # larger inputs are never dealt anew
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -96,7 +96,7 @@ def test_shuffle_and_broadcast_plans_agree(spark, monkeypatch):
     right = [(f"r{i:04d}", x, y) for i, (x, y) in enumerate(points(9, 150, 50.0, dup=10))]
     want = brute(left, right, 4.0)
     assert run(spark, left, right, 4.0) == want  # small: broadcast copies
-    monkeypatch.setattr(pr, "BROADCAST_COPY_ROWS", 0)
+    monkeypatch.setattr(pr, "BROADCAST_COPY_BYTES", 0)
     assert run(spark, left, right, 4.0) == want  # forced shuffle join
     assert run(spark, left, right, 0.0) == brute(left, right, 0.0)
 
