@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -43,20 +44,47 @@ def _crossing(px: Column, py: Column, x0, y0, x1, y1) -> Column:
 
 def inside_polygon(x: Column | str, y: Column | str,
                    vertices: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd point-in-polygon test against a literal polygon."""
+    """Even-odd point-in-polygon test against a literal polygon; a NULL coordinate is outside.
+
+    Small rings become an unrolled expression, larger ones a banded edge
+    table; both apply the same test to the same edges.
+    """
     px, py = _col(x), _col(y)
     edges = polygon_edges(vertices)
-    if len(edges) <= UNROLL_EDGES:
-        acc = F.lit(False)
-        for x0, y0, x1, y1 in edges:
-            acc = acc != _crossing(px, py, F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
-        return acc
-    return inside_polygon_banded(px, py, edges)
+    if len(edges) > UNROLL_EDGES:
+        return inside_polygon_banded(px, py, edges)
+    acc = F.lit(False)
+    for x0, y0, x1, y1 in edges:
+        acc = acc != _crossing(px, py, F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
+    return F.coalesce(acc, F.lit(False))
+
+
+_EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
+
 
+def edge_bands(edges: Sequence[tuple[float, float, float, float]], edges_per_band: int = 4):
+    """(lowest y, band height, edges per band): every edge stands in all bands its y-range touches.
 
-def _edge_struct(e):
-    a, b, c, d = e
-    return F.struct(F.lit(a).alias("x0"), F.lit(b).alias("y0"), F.lit(c).alias("x1"), F.lit(d).alias("y1"))
+    The number of bands follows the ring; it is halved while tall edges would
+    stand in so many bands that the table exceeds eight times the ring.
+    """
+    ys = [v for e in edges for v in (e[1], e[3])]
+    lo, hi = min(ys), max(ys)
+    n = max(1, len(edges) // edges_per_band)
+    while True:
+        height = (hi - lo) / n if hi > lo else 1.0
+        # one band of margin on each side: a rounding difference at a band
+        # boundary between Python and Spark must not drop an edge
+        spans = [(max(0, int((min(e[1], e[3]) - lo) // height) - 1),
+                  min(n - 1, int((max(e[1], e[3]) - lo) // height) + 1)) for e in edges]
+        if n == 1 or sum(b - a + 1 for a, b in spans) <= 8 * len(edges):
+            break
+        n = max(1, n // 2)
+    bands: list[list[tuple]] = [[] for _ in range(n)]
+    for e, (a, b) in zip(edges, spans):
+        for k in range(a, b + 1):
+            bands[k].append(e)
+    return lo, hi, height, bands
 
 
 def inside_polygon_banded(px: Column, py: Column, edges: Sequence[tuple[float, float, float, float]],
@@ -66,24 +94,13 @@ def inside_polygon_banded(px: Column, py: Column, edges: Sequence[tuple[float, f
     Only edges whose y-range contains the point's y can cross its ray, and
     all of them overlap the point's band, so a point tests the few edges of
     its band instead of the whole ring.  Points outside the y-range are
-    outside.
+    outside.  The table enters the plan as one JSON literal that the
+    optimizer folds into an array, so the plan does not grow with the ring.
     """
-    ys = [v for e in edges for v in (e[1], e[3])]
-    lo, hi = min(ys), max(ys)
-    n_bands = max(1, min(65536, len(edges) // edges_per_band))
-    height = (hi - lo) / n_bands if hi > lo else 1.0
-    bands: list[list[tuple]] = [[] for _ in range(n_bands)]
-    for e in edges:
-        # one band of margin on each side: the band of a point is computed in
-        # Spark, and a rounding difference at a band boundary must not drop an edge
-        b0 = min(n_bands - 1, max(0, int((min(e[1], e[3]) - lo) // height) - 1))
-        b1 = min(n_bands - 1, max(0, int((max(e[1], e[3]) - lo) // height) + 1))
-        for b in range(b0, b1 + 1):
-            bands[b].append(e)
-    table = F.array(*[F.array(*[_edge_struct(e) for e in band]) if band else
-                      F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-                      for band in bands])
-    idx = F.least(F.floor((py - F.lit(lo)) / F.lit(height)), F.lit(n_bands - 1)) + 1
+    lo, hi, height, bands = edge_bands(edges, edges_per_band)
+    text = json.dumps([[dict(zip(("x0", "y0", "x1", "y1"), e)) for e in band] for band in bands])
+    table = F.from_json(F.lit(text), f"array<array<{_EDGE}>>")
+    idx = F.least(F.floor((py - F.lit(lo)) / F.lit(height)), F.lit(len(bands) - 1)) + 1
     band_edges = F.when((py >= F.lit(lo)) & (py <= F.lit(hi)), F.try_element_at(table, idx.cast("int")))
     return F.coalesce(inside_polygon_edges(px, py, band_edges), F.lit(False))
 

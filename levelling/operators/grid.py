@@ -82,12 +82,10 @@ def bounding_box(vertices: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def polygon_vertices(vertices: DataFrame, order: str = "seq", x: str = "x", y: str = "y") -> list[tuple[float, float]]:
     """Vertex list of a scope polygon table, in ring order.
 
-    A scope polygon is a handful of vertices entered by a user; it is read
-    to the driver to become a literal expression.  Refuses very large rings.
+    A scope polygon is a parameter of the run: its ring is read to the driver
+    to become a literal of the plan.
     """
-    rows = vertices.select(order, x, y).orderBy(order).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("scope polygon has more than 100000 vertices")
+    rows = vertices.select(order, x, y).orderBy(order).collect()
     pts = [(float(r[x]), float(r[y])) for r in rows]
     if len(pts) < 3:
         raise ValueError("a scope polygon needs at least three vertices")
@@ -174,36 +172,39 @@ def centre_of(df: DataFrame, vertices: Sequence[tuple[float, float]], spacing: f
 
 
 def thin_to_grid(candidates: DataFrame, vertices: Sequence[tuple[float, float]], spacing: float, *,
-                 key: str, score: Column, x: str = "x", y: str = "y",
-                 max_rounds: int = 1000) -> DataFrame:
+                 key: str, score: Column, x: str = "x", y: str = "y") -> DataFrame:
     """Pick per grid centre the candidate with the smallest (score, distance, key).
 
     ``candidates`` must already be restricted to the polygon and have
     non-null coordinates.  Returns the chosen candidate rows plus r, c,
-    centre_distance, ordered by centre (y, x).
+    centre_distance, ordered by centre (y, x).  Only narrow rows (centre,
+    score, distance, key, row number) are aggregated; the chosen rows are
+    joined back.  A candidate that wins two centres (it lies exactly between
+    them) keeps the first; the others choose again among what is left, which
+    only the centres touched by a lost candidate repeat.
     """
     cols = candidates.columns
-    m = centre_of(candidates.withColumn("__score", score), vertices, spacing, x, y)
-    m = m.select("r", "c", "centre_distance", "__score", F.col(key).alias("__key"),
-                 F.struct(*[F.col(cn) for cn in cols]).alias("__row")).checkpoint()
-    excluded = None
-    for _ in range(max_rounds):
-        avail = m if excluded is None else m.join(excluded, ["r", "c", "__key"], "left_anti")
-        best = avail.groupBy("r", "c").agg(F.min(F.struct("__score", "centre_distance", "__key", "__row")).alias("b"))
-        picks = best.select("r", "c", F.col("b.__key").alias("__key"),
-                            F.col("b.centre_distance").alias("centre_distance"),
-                            F.col("b.__row").alias("__row"))
-        conflicts = (picks.groupBy("__key").agg(F.count(F.lit(1)).alias("n"),
-                                                F.min(F.struct("r", "c")).alias("first"))
-                     .where(F.col("n") > 1))
-        losers = (picks.join(conflicts, "__key")
-                  .where((F.col("r") != F.col("first.r")) | (F.col("c") != F.col("first.c")))
-                  .select("r", "c", "__key"))
-        if losers.isEmpty():
+    base = candidates.withColumn("__score", score).withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
+    m = centre_of(base.select(F.col(key).alias("__key"), "__score", "__rid", F.col(x).alias("__x"),
+                              F.col(y).alias("__y")), vertices, spacing, "__x", "__y")
+    m = m.select("r", "c", "centre_distance", "__score", "__key", "__rid")
+
+    def choose(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("r", "c").agg(
+            F.min(F.struct("__score", "centre_distance", "__key", "__rid")).alias("b")).select(
+            "r", "c", F.col("b.centre_distance").alias("centre_distance"), F.col("b.__rid").alias("__rid"))
+
+    picks = choose(m).checkpoint()
+    lost = None
+    while True:  # every round takes at least one candidate from a centre for good
+        first = (picks.groupBy("__rid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "c")).alias("first"))
+                 .where(F.col("n") > 1))
+        gone = (picks.join(first, "__rid").where(F.struct("r", "c") != F.col("first"))
+                .select("r", "c", "__rid").checkpoint())
+        if gone.isEmpty():
             break
-        excluded = losers if excluded is None else excluded.unionByName(losers)
-        excluded = excluded.checkpoint()
-    else:
-        raise RuntimeError("tangency resolution did not converge")
-    return (picks.select(*[F.col(f"__row.{cn}").alias(cn) for cn in cols], "r", "c", "centre_distance")
-            .orderBy("r", "c"))
+        lost = gone if lost is None else lost.unionByName(gone)
+        again = gone.select("r", "c").distinct()
+        new = choose(m.join(again, ["r", "c"], "left_semi").join(lost, ["r", "c", "__rid"], "left_anti"))
+        picks = picks.join(again, ["r", "c"], "left_anti").unionByName(new).checkpoint()
+    return (base.join(picks, "__rid").select(*cols, "r", "c", "centre_distance").orderBy("r", "c"))
