@@ -8,9 +8,10 @@ read on the driver, then applied as literal column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import has_easting_structure, source_epsg, zone_of
@@ -30,9 +31,14 @@ def _looks_like_easting(v) -> bool:
     return 5000000 <= t <= 8999999
 
 
-def first_row(df: DataFrame, order: str, cols: list[str]):
+def order_of(order: str | Sequence[str]) -> Column:
+    """One comparable column for an order given as a name or several names."""
+    return F.col(order) if isinstance(order, str) else F.struct(*order)
+
+
+def first_row(df: DataFrame, order: str | Sequence[str], cols: list[str]):
     """Values of ``cols`` on the row with the smallest ``order`` (None if empty)."""
-    r = df.agg(F.min_by(F.struct(*cols), F.col(order)).alias("r")).first()
+    r = df.agg(F.min_by(F.struct(*cols), order_of(order)).alias("r")).first()
     return None if r is None or r["r"] is None else r["r"]
 
 
@@ -44,7 +50,7 @@ def roles_from_first(fx, fy, x: str = "x", y: str = "y") -> Roles:
     return Roles(northing=x, easting=y)
 
 
-def detect_roles(df: DataFrame, order: str, x: str = "x", y: str = "y") -> Roles:
+def detect_roles(df: DataFrame, order: str | Sequence[str], x: str = "x", y: str = "y") -> Roles:
     """Axis roles decided by the first row (parity with the reference, Q1)."""
     r = first_row(df, order, [x, y])
     if r is None:
@@ -52,6 +58,22 @@ def detect_roles(df: DataFrame, order: str, x: str = "x", y: str = "y") -> Roles
     return roles_from_first(r[0], r[1], x, y)
 
 
+def roles_per_file(df: DataFrame, by: str, order: str | Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Add ``geodetic_northing`` / ``geodetic_easting``, decided by the first row of each ``by``.
+
+    One map-side-combined aggregate gives a row per file; Spark joins that
+    small table back by its measured size.
+    """
+    first = df.groupBy(by).agg(F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), order_of(order)).alias("f"))
+    swap = first.select(F.col(by).alias("__by"), (~has_easting_structure("f.y") & has_easting_structure("f.x"))
+                        .alias("__swap"))
+    out = df.join(swap, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return out.withColumns({
+        "geodetic_northing": F.when(F.col("__swap"), F.col(y)).otherwise(F.col(x)),
+        "geodetic_easting": F.when(F.col("__swap"), F.col(x)).otherwise(F.col(y)),
+    }).drop("__by", "__swap")
+
+
 def assign_roles(df: DataFrame, order: str, x: str = "x", y: str = "y",
                  strict: bool = False) -> DataFrame:
     """Add ``geodetic_northing`` / ``geodetic_easting``.
@@ -84,7 +106,7 @@ def zone_counts(df: DataFrame, easting: str = "geodetic_easting") -> DataFrame:
             .groupBy("epsg").agg(F.count(F.lit(1)).alias("n_points")))
 
 
-def first_row_epsg(df: DataFrame, order: str, x: str = "x", y: str = "y"):
+def first_row_epsg(df: DataFrame, order: str | Sequence[str], x: str = "x", y: str = "y"):
     """EPSG code of the first row after role assignment (None if unknown)."""
     r = first_row(df, order, [x, y])
     if r is None:
@@ -100,7 +122,8 @@ class ZoneMismatch(ValueError):
     pass
 
 
-def check_zones(points: DataFrame, points_order: str, scope: DataFrame, scope_order: str,
+def check_zones(points: DataFrame, points_order: str | Sequence[str], scope: DataFrame,
+                scope_order: str | Sequence[str],
                 x: str = "x", y: str = "y") -> tuple[int | None, int | None]:
     """Compare the first-row zones of points and scope; raise if both known and different."""
     a = first_row_epsg(points, points_order, x, y)

@@ -284,10 +284,12 @@ def data_spacing(spark: SparkSession, sf: str) -> float:
 SPACING_SQL = f"(SELECT {q.f(fx.SCOPE_SPACING)}*sqrt({q.f(GRID_POINTS_PER_ORDER)}/count(*)) FROM orders)"
 
 
-def _grid_sql(spacing_sql: str) -> str:
+def _grid_sql(spacing_sql: str, box: tuple[str, str, str, str] | None = None, inside: str | None = None) -> str:
+    """CTEs of the grid: of the fixture polygon, or of a box and an ``inside`` select given as SQL."""
     xs = [p[0] for p in fx.SCOPE_POLYGON]
     ys = [p[1] for p in fx.SCOPE_POLYGON]
-    x0, y0, x1, y1 = (q.f(min(xs)), q.f(min(ys)), q.f(max(xs)), q.f(max(ys)))
+    x0, y0, x1, y1 = box or (q.f(min(xs)), q.f(min(ys)), q.f(max(xs)), q.f(max(ys)))
+    inside = inside or f"SELECT * FROM grid WHERE {q.polygon_inside_sql('x', 'y')}"
     return f"""params AS (SELECT d, d*sqrt(3.0e0)/2.0e0 AS dy FROM (SELECT {spacing_sql} AS d)),
 lat AS (
   SELECT 0 AS parity, {y0} AS ly0, ({y0} + dy*2.0e0) - {y0} AS lys,
@@ -301,7 +303,7 @@ lat AS (
 grows AS (SELECT *, unnest(generate_series(0, ny - 1)) AS m FROM lat),
 gpts AS (SELECT *, unnest(generate_series(0, nx - 1)) AS c FROM grows),
 grid AS (SELECT m*2 + parity AS r, c, lx0 + c*lxs AS x, ly0 + m*lys AS y FROM gpts),
-inside AS (SELECT * FROM grid WHERE {q.polygon_inside_sql('x', 'y')}),
+inside AS ({inside}),
 centres AS (SELECT concat('P_', CAST(row_number() OVER (ORDER BY r, c) AS VARCHAR)) AS id,
                    row_number() OVER (ORDER BY r, c) AS seq_no, r, c, x, y FROM inside)"""
 
@@ -561,8 +563,8 @@ SELECT id_odniesienia, diff_h,
 
 
 def geo_layer_q(spark, sf):
-    from ..sinks.writers import spatial_layer
-    layer = spatial_layer(compare_heights_q(spark, sf), fx.inp(spark, sf), order="k")
+    from ..sinks.writers import spatial_layer, split_layer
+    layer = split_layer(spatial_layer(compare_heights_q(spark, sf), fx.inp(spark, sf), order="k"))
     return layer.select("id_odniesienia", F.col("geometry.x").alias("geom_x"),
                         F.col("geometry.y").alias("geom_y"), "epsg", "epsg_layer", "eksport")
 
@@ -811,7 +813,9 @@ def enrich_csv_q(spark, sf):
 # --- registry --------------------------------------------------------------------------------
 
 def queries() -> dict[str, Query]:
+    from . import catalog_rows
     return {
+        **catalog_rows.queries(),
         "nearest_pair": nearest_pair_q,
         "nearest_unlimited": nearest_unlimited_q,
         "nearest_mutual": nearest_mutual_q,
@@ -858,8 +862,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_rows
     inp_proj = f"WITH {q.INP},\n" + INP_PROJ
     return {
+        **catalog_rows.oracle_sql(),
         "nearest_pair": _nearest_sql(MAX_DISTANCE) + "\nSELECT id, cid, d FROM paired",
         "nearest_unlimited": _nearest_unlimited_sql(),
         "nearest_mutual": _nearest_mutual_sql(),
