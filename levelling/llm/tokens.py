@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20  # text handled at once; one longer document is a block of its own
+BLOCK_BYTES = 1 << 20  # text handled at once; one longer document is a block of its own
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
