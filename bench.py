@@ -27,6 +27,7 @@ HEADLINE = [
     "grid_heights",      # mode 5: grid + service path
     "thin_accurate",     # thinning of accurate points
     "nearest_pair",
+    "nearest_unlimited",
     "nearest_mutual",
     "project_2180",
     "hex_thin",

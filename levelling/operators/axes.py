@@ -106,16 +106,20 @@ def zone_counts(df: DataFrame, easting: str = "geodetic_easting") -> DataFrame:
             .groupBy("epsg").agg(F.count(F.lit(1)).alias("n_points")))
 
 
-def first_row_epsg(df: DataFrame, order: str | Sequence[str], x: str = "x", y: str = "y"):
-    """EPSG code of the first row after role assignment (None if unknown)."""
+def first_row_decision(df: DataFrame, order: str | Sequence[str], x: str = "x",
+                       y: str = "y") -> tuple[Roles, int | None]:
+    """Axis roles and EPSG code (None if unknown) of the first row, read once."""
     r = first_row(df, order, [x, y])
     if r is None:
-        return None
+        return Roles(northing=x, easting=y), None
     roles = roles_from_first(r[0], r[1], x, y)
     e = r[1] if roles.easting == y else r[0]
-    if not _looks_like_easting(e):
-        return None
-    return 2171 + int(e) // 1000000
+    return roles, 2171 + int(e) // 1000000 if _looks_like_easting(e) else None
+
+
+def first_row_epsg(df: DataFrame, order: str | Sequence[str], x: str = "x", y: str = "y"):
+    """EPSG code of the first row after role assignment (None if unknown)."""
+    return first_row_decision(df, order, x, y)[1]
 
 
 class ZoneMismatch(ValueError):

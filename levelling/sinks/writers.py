@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import point_struct
 from ..functions.numeric import source_epsg
 from ..operators.accuracy import MISSING_TEXT, is_accurate
-from ..operators.axes import detect_roles, first_row_epsg
+from ..operators.axes import first_row_decision
 
 # Output base names and layer names per mode, and the split labels.
 BASE_NAMES = {"compare": "wynik", "thinned": "wynik_siatka", "enrich": "wynik_geoportal",
@@ -85,9 +85,8 @@ def spatial_layer(result: DataFrame, points: DataFrame, order, layer: str = "wyn
     """
     xc = "x_odniesienia" if "x_odniesienia" in result.columns else "x"
     yc = "y_odniesienia" if "y_odniesienia" in result.columns else "y"
-    roles = detect_roles(points, order, "x", "y")
+    roles, layer_epsg = first_row_decision(points, order, "x", "y")
     easting = yc if roles.easting == "y" else xc
-    layer_epsg = first_row_epsg(points, order, "x", "y")
     out = result.withColumns({
         "geometry": point_struct(F.col(yc), F.col(xc)),
         "wkt": F.format_string("POINT (%.2f %.2f)", F.col(yc), F.col(xc)),
