@@ -106,6 +106,11 @@ class Words:
         total = np.cumsum(_TABLE[_LOWER[self.data]] * up, dtype=_U)
         return _spans(total, self.start, self.end, down)
 
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The lower-cased words at the given places."""
+        raw = self.data.tobytes().lower()
+        return [raw[s:e] for s, e in zip(self.start[which].tolist(), self.end[which].tolist())]
+
     def stems(self, size: int = 6) -> np.ndarray:
         """64-bit hash of the first ``size`` bytes of each lower-cased word."""
         if not len(self.start):
@@ -136,6 +141,40 @@ def _spans(total: np.ndarray, lo: np.ndarray, hi: np.ndarray, down: np.ndarray)
     return mix(s * down[lo] + (hi - lo).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+class WordIndex:
+    """Numbers of given words, looked up by word hash for whole blocks; -1 for any other word.
+
+    Hashes are kept sorted; a table over their leading bits tells where to
+    start, and the few entries that share them are compared one after another.
+    Words are identified by their 64-bit hash.
+    """
+
+    def __init__(self, words: list[bytes]):
+        data, off = text_bytes(pa.array(words, pa.large_binary()))
+        w = Words(data, off)
+        number = np.flatnonzero(np.diff(w.off))  # an empty string is no word
+        h = w.hashes()
+        order = np.argsort(h)
+        self.hash = np.append(h[order], _U(0xFFFFFFFFFFFFFFFF))
+        self.number = np.append(number[order], -1).astype(np.int32)
+        self.shift = _U(64 - max(8, min(22, 3 + int(len(h)).bit_length())))
+        slots = 1 << (64 - int(self.shift))
+        self.first = np.searchsorted(h[order], np.arange(slots, dtype=_U) << self.shift).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        got = self.hash[at]
+        out = np.where(got == h, self.number[at], np.int32(-1))
+        left = np.flatnonzero(got < h)
+        while len(left):
+            at[left] += 1
+            got = self.hash[at[left]]
+            same = got == h[left]
+            out[left[same]] = self.number[at[left[same]]]
+            left = left[got < h[left]]
+        return out
+
+
 def lower_words(text: str | bytes | None) -> list[bytes]:
     """Lower-cased words of one text."""
     if text is None:

@@ -103,3 +103,14 @@ def test_viterbi_equals_exhaustive_search():
         best = max(product(range(3), repeat=hi - lo), key=lambda p: m.start[p[0]] + sum(
             e[lo + i, x] for i, x in enumerate(p)) + sum(m.trans[x, y] for x, y in zip(p, p[1:])))
         assert tuple(got[lo:hi]) == best
+
+
+def test_word_index_finds_its_words_only():
+    from levelling.llm.tokens import WordIndex
+    words = [b"", *(b"w%d" % i for i in range(5000))]
+    index = WordIndex(words)
+    data, off = text_bytes(pa.array(["w0 W17 w4999", None, "w5000 x", "w3"]))
+    w = Words(data, off)
+    assert index.of(w.hashes()).tolist() == [1, 18, 5000, -1, -1, 4]
+    assert w.spelled(np.array([1, 3])) == [b"w17", b"w5000"]
+    assert WordIndex([b""]).of(w.hashes()).tolist() == [-1] * 6
