@@ -2,9 +2,11 @@ import base64
 import hashlib
 import itertools
 import random
+import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,56 @@ def test_training_lowers_the_loss():
     assert net.score(texts).sum() > 0.5 * before
 
 
+def test_every_token_of_every_lane_is_trained():
+    rng = np.random.default_rng(9)
+    for sizes, lanes in (((37, 20, 5, 3), 4), ((1, 2, 3), 2), ((16, 16, 32), 3), ((70,), 64)):
+        texts = [np.append(rng.integers(1, 8, n - 1), 0).astype(np.int32) for n in sizes]
+        net, learnt = small_net(), []
+        output = net._output
+        net._output = lambda h, y: learnt.extend(y.tolist()) or output(h, y)
+        assert net.train(texts, lanes=lanes) == sum(sizes)
+        assert sorted(learnt) == sorted(np.concatenate(texts).tolist())
+
+
+def test_gradients_of_lanes_that_end_inside_a_window():
+    net, grads = small_net(), {}
+    texts = [np.array([3, 1, 2, 8, 5, 0]), np.array([4, 4, 0]), np.array([0])]
+
+    def catch(name, at, g, seen, rate):
+        full = grads.setdefault(name, np.zeros(net.p[name].shape))
+        full[at] += g
+    net._step = catch
+    net.train(texts, lanes=3, window=6)
+    rng = np.random.default_rng(6)
+    for name, g in grads.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in g.shape)
+            old, out = net.p[name][at], []
+            for e in (1e-5, -1e-5):
+                net.p[name][at] = old + e
+                out.append(-sum(one_by_one(net, t) for t in texts) / len(texts))
+            net.p[name][at] = old
+            assert abs((out[0] - out[1]) / 2e-5 - g[at]) < 1e-3 + 1e-2 * abs(g[at]), (name, at)
+
+
+def test_every_training_document_reaches_the_network_once(spark, monkeypatch, tmp_path):
+    texts_of, folder = language_model.texts_of, str(tmp_path)
+
+    def noted(w, number, other):  # runs in the Python workers
+        texts = texts_of(w, number, other)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write("\n".join(" ".join(map(str, t.tolist())) for t in texts))
+        return texts
+    monkeypatch.setattr(language_model, "texts_of", noted)
+    rows = [(i, f"a w{i} a") for i in range(150)] + [(None, "a b"), (900, None), (7, "a w7 a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [b"", b"a", b"b", *(b"w%d" % i for i in range(150))]
+    language_model.train(docs, (pa.array(words, pa.binary()), np.ones(len(words), np.int64)), 1.0)
+    got = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")]
+    number = {w: i for i, w in enumerate(words)}
+    assert sorted(got) == sorted(" ".join(str(number[w]) for w in [*(t or "").encode().split(), b""]) for _, t in rows)
+
+
 def test_scores_of_documents(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD", 30)
     monkeypatch.setattr(language_model, "WORDS", 10)
