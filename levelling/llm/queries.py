@@ -18,6 +18,7 @@ from .store import prepare
 from .warc import read_archives, write_archives
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SEGMENT_BYTES = 2048  # of op5's archives: ordinary pages have several segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, with segments and revisits, and read back."""
-    path = write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
+    path = write_archives(_table(spark, sf_dir, "pages"), min_bytes=0, segment_bytes=SEGMENT_BYTES)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
                                              "refers_to", "verified")
 

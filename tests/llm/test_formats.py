@@ -10,10 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from levelling.llm import language_model, prefix_tree, warc
+from levelling.llm import language_model, prefix_tree, queries, warc
 from levelling.llm.gru import Gru
 from levelling.llm.queries import TOKENIZER
 from levelling.llm.tokens import lower_words
+from tests.conftest import SF
 
 # --- WARC ------------------------------------------------------------------------
 
@@ -72,6 +73,25 @@ def test_damaged_segments_are_reported(spark, tmpdir_fresh):
     assert [r.verified for r in gap + short + orphan] == [False] * 3
 
 
+def test_registered_query_reassembles_ordinary_pages(spark, monkeypatch):
+    paths, write = [], warc.write_archives
+
+    def noted(*args, **options):
+        paths.append(write(*args, **options))
+        return paths[-1]
+    monkeypatch.setattr(queries, "write_archives", noted)
+    got = sorted(map(str, queries.op5_warc(spark, SF).collect()))
+    raw = [bytes(r.content) for r in spark.read.format("binaryFile").load(paths[0]).collect()]
+    heads = [h for b in raw for h, _ in warc.parse(b)]
+    whole = [h for h in heads if h["warc-type"] == "response" and "warc-segment-number" not in h]
+    cut = [h for h in heads if h["warc-type"] == "response" and "warc-segment-number" in h]
+    assert len(cut) >= len(whole) and sum(h["warc-type"] == "continuation" for h in heads) >= len(cut)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plain = warc.read_archives(spark, write(pages, segment_bytes=1 << 30)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified").collect()
+    assert got == sorted(map(str, plain)) and all(r.verified for r in plain)
+
+
 def test_chunked_framing_in_any_pieces():
     payload = bytes(range(256)) * 400
     block = warc._HTTP + warc._chunked(payload)
