@@ -39,6 +39,7 @@ SAMPLE = 4096       # classes that the pivots are chosen from, per vector length
 MAX_PIVOTS = 256    # pivots of one vector length
 BLOCK = 4096        # rows of one cover tree inside a part
 EPS = 1e-4          # slack of single-precision bounds; exact cosines decide inside it
+SLACK = 2e-6        # of squared distances from single-precision products
 RADII = (1.0, 0.5, 0.25, 0.125)
 
 
@@ -99,8 +100,7 @@ class Tree:
         every = np.vstack([node, np.arange(len(ids))[None, :]])
         for row in every:
             centre, of = np.unique(row, return_inverse=True)
-            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.u, self.u[row])))
-            d[row == np.arange(len(row))] = 0
+            d = np.linalg.norm(exact - exact[row], axis=1)  # a single-precision product loses short distances
             radius = np.zeros(len(centre), np.float32)
             np.maximum.at(radius, of, d)
             self.levels.append((centre, of, radius, np.bincount(of, self.mult, len(centre)).astype(np.int64)))
@@ -163,8 +163,11 @@ def dual(a: Tree, b: Tree, cos: float) -> list[tuple[np.ndarray, np.ndarray]]:
         d = _apart(a, b, lev, i, j)
         if same:
             d[i == j] = 0
-        bound = d + ra[i] + rb[j]
-        live = d <= ra[i] + rb[j] + t + EPS
+        most = np.sqrt(d * d + SLACK)
+        if same:
+            most[i == j] = 0
+        bound = most + ra[i] + rb[j]
+        live = np.sqrt(np.maximum(0, d * d - SLACK)) <= ra[i] + rb[j] + t + EPS
         whole = live & (bound <= t - EPS)
         wi, wj = i[whole], j[whole]
         if len(wi):

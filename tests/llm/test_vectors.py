@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from levelling.llm import cover_tree
 from levelling.llm.components import components
 from levelling.llm.cover_tree import near_duplicates
 from levelling.llm.exact_topk import top_k
@@ -96,3 +97,15 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 300: 300, 400: 300, 500: 300}
     assert got == want
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_radii_cover_light_jitter():
+    rng = np.random.default_rng(11)
+    for step in (2e-4, 5e-4, 1e-3):
+        base, move = rng.normal(size=(2, 300, 64))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        moved = base + step * move / np.linalg.norm(move, axis=1, keepdims=True)
+        exact = np.stack([base, moved / np.linalg.norm(moved, axis=1, keepdims=True)], axis=1).reshape(600, 64)
+        tree = cover_tree.Tree(np.arange(600), np.ones(600, np.int64), exact, (np.arange(600) // 2 * 2)[None, :])
+        radius = tree.levels[0][2]
+        assert np.all(np.abs(radius - np.linalg.norm(exact[::2] - exact[1::2], axis=1)) < 1e-6)
