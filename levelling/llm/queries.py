@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, ordinal, pii
+from . import language_model, ordinal, periodic_runs, pii
 from .cover_tree import near_duplicates
 from .entropy_mix import mixed
 from .exact_topk import top_k
@@ -93,7 +93,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more in every document, a tenth of them with a repeated tail, and what is left without them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(periodic_runs.WORD), F.lit(0))
+    docs = (_table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+            .withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+            .withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+            .withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")))
+    tail = periodic_runs.repeated_tail(F.col("text"), F.col("words"), F.col("a"), F.col("p"))
+    return periodic_runs.digests(periodic_runs.find_runs(
+        docs.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_topk, op2_length_packing, op3_embedding_dedup, op4_quality_classifier, op5_warc,
-        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join)}
+        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join, op13_periodic_runs)}

@@ -88,5 +88,44 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c LEFT JOIN n USING (doc_id)
 """
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || [ord(c)::BIGINT for c in string_split({text}, '')],
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+
+OP13 = rf"""
+WITH d0 AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM d0),
+d2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM d1),
+d AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN a = n THEN w
+    ELSE [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] for i in range(n)]
+    END AS w FROM d2),
+t AS MATERIALIZED (SELECT r, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+s AS MATERIALIZED (
+  SELECT r, i, {" || ' ' || ".join(f"lead(x, {k}) OVER p" for k in range(6))} AS x
+  FROM t WINDOW p AS (PARTITION BY r ORDER BY i)),
+e AS (SELECT a.r, a.i, b.i - a.i AS q FROM s a JOIN s b ON a.r = b.r AND a.x = b.x AND a.i < b.i),
+l AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM e),
+c AS (SELECT r, min(i) AS start, count(*) + 5 + q AS length, q FROM l GROUP BY r, q, isle),
+u AS MATERIALIZED (
+  SELECT r, start, length, min(q) AS period FROM c WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+k AS (
+  SELECT r, count(*) AS n_runs, max(row(length, -start, -period)) AS m,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM u GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+left_over AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-m[2])::BIGINT AS start, m[1]::BIGINT AS length,
+  (-m[3])::BIGINT AS period, (1000 * m[1] // -m[3])::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN left_over USING (r)
+"""
+
 ORACLES = {"op1_exact_topk": OP1, "op3_embedding_dedup": OP3, "op5_warc": OP5, "op6_prefix_tree": OP6,
-           "op10_ngram_join": OP10}
+           "op10_ngram_join": OP10, "op13_periodic_runs": OP13}
