@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, ordinal, periodic_runs, pii
+from . import language_model, merkle, ordinal, periodic_runs, pii
 from .cover_tree import near_duplicates
 from .entropy_mix import mixed
 from .exact_topk import top_k
@@ -93,6 +93,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents by language, and the roots that they give after a change to every seventh checksum."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    m = merkle.manifest(_table(spark, sf_dir, "documents"), fields, "lang", "doc_id", fan=2,
+                        keep=[F.when(touched, F.unhex(changed)).alias("changed")])
+    leaf = F.coalesce(F.lower(F.hex("changed")), F.col("leaf"))
+    return (m.withColumn("folded_root", merkle.folded(leaf, F.col("proof")))
+            .select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 12 words or more in every document, a tenth of them with a repeated tail, and what is left without them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -109,4 +122,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_topk, op2_length_packing, op3_embedding_dedup, op4_quality_classifier, op5_warc,
-        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join, op13_periodic_runs)}
+        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join, op12_merkle_manifest,
+        op13_periodic_runs)}

@@ -127,5 +127,55 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-m[2])::BIGINT AS start,
 FROM d LEFT JOIN k USING (r) LEFT JOIN left_over USING (r)
 """
 
+LEVELS = 40  # of OP12's trees: enough for 2**40 leaves
+
+
+def _climb(tree: str, first: str) -> str:
+    """CTEs <tree>0 .. <tree>LEVELS: the nodes (t, lvl, p, digest, n) of every tree, level by level."""
+    return ",\n".join([f"{tree}0 AS ({first})"] + [
+        f"""{tree}{k + 1} AS (
+  SELECT t, {k + 1} AS lvl, p // 2 AS p, sha256(string_agg(digest, '' ORDER BY p)) AS digest, (any_value(n) + 1) // 2 AS n
+  FROM {tree}{k} WHERE n > 1 GROUP BY t, p // 2)""" for k in range(LEVELS)])
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = [_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+_TAMPERED = [_FIELD.format("(n_chars + 1)") if "n_chars" in c else c for c in _LEAF]
+
+OP12 = f"""
+WITH d0 AS (
+  SELECT doc_id, lang, sha256({" || ".join(_LEAF)}) AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN sha256({" || ".join(_TAMPERED)}) END AS tampered
+  FROM documents),
+d AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+    count(*) OVER (PARTITION BY lang) AS n FROM d0),
+{_climb("a", "SELECT t, 0 AS lvl, p, leaf AS digest, n FROM d")},
+a AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(LEVELS + 1))}),
+sub AS MATERIALIZED (SELECT t, digest AS subroot FROM a WHERE n = 1),
+{_climb("b", "SELECT 0 AS t, 0 AS lvl, t AS p, subroot AS digest, (SELECT count(*) FROM sub) AS n FROM sub")},
+b AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(LEVELS + 1))}),
+step AS (
+  SELECT d.t, d.p, 0 AS part, x.lvl, (d.p >> x.lvl) & 1 AS side, s.digest
+  FROM d JOIN a x ON x.t = d.t AND x.p = d.p >> x.lvl AND x.n > 1
+  LEFT JOIN a s ON s.t = x.t AND s.lvl = x.lvl AND s.p = xor(x.p, 1)
+  UNION ALL
+  SELECT d.t, d.p, 1 AS part, x.lvl, (d.t >> x.lvl) & 1 AS side, s.digest
+  FROM d JOIN b x ON x.p = d.t >> x.lvl AND x.n > 1
+  LEFT JOIN b s ON s.lvl = x.lvl AND s.p = xor(x.p, 1)),
+path AS (
+  SELECT t, p, string_agg(coalesce(digest, ''), '' ORDER BY part, lvl) AS proof,
+    list(side || coalesce(digest, '') ORDER BY part, lvl) AS steps
+  FROM step GROUP BY t, p),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM b WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([coalesce(tampered, leaf)] || coalesce(steps, []),
+      lambda v, s: sha256(CASE WHEN s[1] = '1' THEN s[2:] || v ELSE v || s[2:] END)) AS folded_root
+  FROM d LEFT JOIN path USING (t, p) JOIN sub USING (t))
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLES = {"op1_exact_topk": OP1, "op3_embedding_dedup": OP3, "op5_warc": OP5, "op6_prefix_tree": OP6,
-           "op10_ngram_join": OP10, "op13_periodic_runs": OP13}
+           "op10_ngram_join": OP10, "op12_merkle_manifest": OP12,
+           "op13_periodic_runs": OP13}
