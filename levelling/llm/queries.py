@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, merkle, ordinal, periodic_runs, pii
+from . import language_model, license_scan, merkle, ordinal, periodic_runs, pii
 from .cover_tree import near_duplicates
 from .entropy_mix import mixed
 from .exact_topk import top_k
@@ -93,6 +93,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.report(license_scan.scan(docs, license_scan.templates(spark), least=0.85))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents by language, and the roots that they give after a change to every seventh checksum."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -122,5 +128,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_topk, op2_length_packing, op3_embedding_dedup, op4_quality_classifier, op5_warc,
-        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join, op12_merkle_manifest,
-        op13_periodic_runs)}
+        op6_prefix_tree, op7_source_mix, op8_pii, op9_language_model, op10_ngram_join, op11_license_scan,
+        op12_merkle_manifest, op13_periodic_runs)}

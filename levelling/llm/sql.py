@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import MIN_VOTES, NOTICES, PHRASES
+
 _FINITE = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
 
 OP1 = f"""
@@ -127,6 +129,53 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-m[2])::BIGINT AS start,
 FROM d LEFT JOIN k USING (r) LEFT JOIN left_over USING (r)
 """
 
+_LICENSE_WORDS = r"""regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_TEMPLATES = ", ".join(f"('{label}', {exact}, '{text}')" for exact, part in ((True, PHRASES), (False, NOTICES))
+                       for label, text in part)
+
+OP11 = f"""
+WITH k0 AS (SELECT DISTINCT label, exact, {_LICENSE_WORDS.format("text")} AS m FROM (VALUES {_TEMPLATES}) AS v(label, exact, text)),
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY label, exact, m) AS tpl, *, len(m) AS n FROM k0),
+kg AS (SELECT tpl, exact, m, n, unnest(range(CASE WHEN exact THEN n - 1 ELSE n - 2 END)) AS j FROM k),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_LICENSE_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT r, w, unnest(range(len(w) - 1)) AS i FROM d),
+g3 AS MATERIALIZED (SELECT r, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM g),
+votes AS MATERIALIZED (
+  SELECT r, tpl, exact, n, i - j AS diagonal, count(*) AS votes
+  FROM g3 JOIN kg ON a = m[j + 1] AND b = m[j + 2] AND (exact OR c = m[j + 3]) GROUP BY ALL),
+places AS (
+  SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(label) AS base
+  FROM votes JOIN k USING (tpl) WHERE votes.exact AND votes = votes.n - 1 GROUP BY r),
+far AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER p > greatest(1, n // 10) THEN 1 ELSE 0 END AS far
+  FROM votes WHERE NOT exact WINDOW p AS (PARTITION BY r, tpl ORDER BY diagonal)),
+isles AS (SELECT *, sum(far) OVER (PARTITION BY r, tpl ORDER BY diagonal) AS isle FROM far),
+spans AS (
+  SELECT r, tpl, n, greatest(0, min(diagonal)) AS first, max(diagonal) + n AS last, sum(votes) AS votes
+  FROM isles GROUP BY r, tpl, n, isle HAVING sum(votes) >= {MIN_VOTES} * (n - 2)),
+texts AS (
+  SELECT r, tpl, label, first, least(last, len(w)) AS last,
+    array_to_string(list_slice(w, first + 1, least(last, len(w))), ' ') AS span, array_to_string(m, ' ') AS model
+  FROM spans JOIN d USING (r) JOIN k USING (tpl)),
+close AS (
+  SELECT r, tpl, label, first, last, 1 - levenshtein(span, model)::DOUBLE / greatest(length(span), length(model)) AS s
+  FROM texts),
+reach AS (
+  SELECT *, max(last) OVER (PARTITION BY r ORDER BY first, last, tpl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    AS reach FROM close WHERE s >= 0.85),
+part AS (
+  SELECT *, sum(CASE WHEN first < reach THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY first, last, tpl) AS isle
+  FROM reach),
+best AS (SELECT r, max(row(s, -tpl, label)) AS b FROM part GROUP BY r, isle),
+more AS (SELECT r, list(b[3]) AS labels, max(b[1]) AS s FROM best GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, array_to_string(list_sort(list_distinct(coalesce(base, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(labels, []))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(s, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN places USING (r) LEFT JOIN more USING (r)
+"""
+
 LEVELS = 40  # of OP12's trees: enough for 2**40 leaves
 
 
@@ -177,5 +226,5 @@ SELECT *, folded_root = root AS verified FROM f
 """
 
 ORACLES = {"op1_exact_topk": OP1, "op3_embedding_dedup": OP3, "op5_warc": OP5, "op6_prefix_tree": OP6,
-           "op10_ngram_join": OP10, "op12_merkle_manifest": OP12,
+           "op10_ngram_join": OP10, "op11_license_scan": OP11, "op12_merkle_manifest": OP12,
            "op13_periodic_runs": OP13}
