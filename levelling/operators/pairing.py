@@ -1,40 +1,36 @@
 """Nearest-neighbour pairing of two point tables.
 
-Every row of ``left`` is paired with the closest row of ``right`` on planar
-Euclidean distance; ties go to the smaller right id.  Rows with no right
-point within ``max_distance`` (inclusive) keep NULL pair columns; with
-``max_distance == 0`` the search has no limit.
-
-Plan.  Space is cut into square cells of side ``s``.  Every point within ``s``
-of a left point lies in the 3x3 block of cells around it, so the rows of one
-side are copied to the nine cells around their own and the two tables are
-equi-joined on the cell key (a hash-partitioned shuffle join, or a broadcast
-of the copies when their count is small; no nested loop, no cartesian
-product).  The join is an inner join so that AQE may split a
-skewed cell on either side; candidates are reduced per left key (partial
-aggregation before the shuffle) and the best one is joined back to the left
-rows.  Only narrow rows (key, distance, right point) are aggregated.
-
-* Exact coordinate duplicates on the right collapse to the smallest id
-  before the join (a map-side-combined aggregate); they cannot win anyway.
-* Dense data: when a single round at ``max_distance`` would give more than
-  ``DENSE_CANDIDATES`` candidates per left row -- judged from the average
-  density and from the densest cell -- cells start small (about 16
-  candidates per row at the peak density) and grow four-fold per round.
-  A row whose best candidate is within the current cell size is final; only
-  the others go to the next round.  Rounds are separated by reliable
-  checkpoints.
-* The side that is copied nine times is the cheaper one: the right side
-  unless it has more than twice the left's rows (rows shuffled: 2L + 9R
-  against 18L + R).  When the copies take at most ``BROADCAST_COPY_BYTES``
-  (measured before the join) they are broadcast and the other side is
-  joined where it lies, without a shuffle; later rounds re-decide from the
-  count of rows still pending.
-* Hot cells: cells with more than ``skew_rows`` rows on a side, or with too
-  many pairs, are split by a salt (left rows by key hash, right rows by point
-  hash) and the other side of that cell is copied to every salt.
-* The right points are stored once, after duplicates are collapsed, and read
-  by the statistics, the hot-cell count and every round.
+Every row of ``left`` gets the closest row of ``right`` on planar Euclidean
+distance; ties go to the smaller right id.  Rows with no right point within
+``max_distance`` (inclusive) keep NULL pair columns; with ``max_distance == 0``
+the search has no limit.  No column needs to identify left rows.
+
+Two plans, chosen from counts taken in one job over both inputs:
+
+* **Cells** (never more than ``DENSE_CANDIDATES`` distinct right points in a 3x3
+  block of cells).  The side of a cell is ``max_distance``; without a limit it
+  follows the mean density, and rows with nothing that near go on to the tree.  Right points are
+  copied to the nine cells around their own and collected to one row per cell,
+  an array of bounded length; every left row joins the row of its own cell and
+  takes the minimum over the array in place.  No candidate row is ever made,
+  aggregated or joined back, and no left row is shuffled when the cells take at
+  most ``BROADCAST_COPY_BYTES`` (counted before) and are broadcast.  When the
+  right side has more than twice the left's rows, only right points near an
+  occupied left cell are copied.
+* **Tree** (dense or clustered data, or a cell with more than ``HOT_ROWS`` left
+  rows).  Equal left coordinates are collapsed, the right points are indexed
+  (``operators.tree``), each distinct left coordinate descends to the leaves
+  that can hold its answer, and answers are joined back on the coordinates.
+
+Exact coordinate duplicates on the right collapse to the smallest id first (a
+map-side-combined aggregate); they cannot win anyway.  Joins are inner, or left
+outer from the left rows, so that Spark may split skewed partitions of left
+rows.
+
+``mutual_pairs`` needs one join only: cells of left points meet the blocks of
+right points, each row yields the best right point of its left points and the
+best left point of its right points, and both meet again in one aggregate by
+right point.
 """
 
 from __future__ import annotations
@@ -46,17 +42,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance
-
-DEFAULT_SKEW_ROWS = 2_000_000
-# A cell may give skew_rows * PAIRS_PER_ROW candidate pairs before it is split.
-PAIRS_PER_ROW = 500
-GROWTH = 4.0
-DENSE_CANDIDATES = 256.0
-# The copied side is broadcast (and the other side joined where it lies,
-# without a shuffle) when its nine copies take at most this many bytes: rows
-# of fixed width plus the text they carry, both counted before the join is
-# planned.
+from .tree import build, closest, descend
+
+DENSE_CANDIDATES = 256
+HOT_ROWS = 50_000
+# The cells are broadcast (and the left rows stay where they lie) when their
+# nine copies of every point take at most this many bytes: rows of fixed width
+# plus the text they carry, both counted before the join is planned.
 BROADCAST_COPY_BYTES = 96 << 20
 _ROW_BYTES = 72
 
@@ -66,21 +58,6 @@ _FIXED = {"byte", "short", "integer", "long", "float", "double", "boolean", "dat
 _OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
-class DuplicateKeyError(ValueError):
-    pass
-
-
-def check_key(df: DataFrame, key: Sequence[str]) -> None:
-    """Raise if two rows share a key or a key is null (one map-side-combined count of narrow rows)."""
-    null = F.lit(False)
-    for k in key:
-        null = null | F.col(k).isNull()
-    bad = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > 1) | null)
-           .select(*key).limit(1).collect())
-    if bad:
-        raise DuplicateKeyError(f"{', '.join(key)} does not identify rows: {tuple(bad[0])} is null or repeated")
-
-
 def _located(x: str, y: str) -> Column:
     """True when both coordinates are finite numbers."""
     inf = F.lit(float("inf"))
@@ -100,280 +77,191 @@ class PairColumns:
     distance: str = "odleglosc_pary"
 
 
-def _as_list(v: str | Sequence[str]) -> list[str]:
-    return [v] if isinstance(v, str) else list(v)
+@dataclass(frozen=True)
+class Side:
+    """What the choice of the plan needs to know of one table."""
+    rows: int = 0
+    peak: int = 0                  # rows of the fullest cell
+    box: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    row_bytes: float = _ROW_BYTES
 
 
-def cell_schedule(max_distance: float, right_count: int, right_area: float,
-                  peak_cell_count: int | None = None) -> list[float]:
-    """Cell sizes of the rounds.
+def _points(df: DataFrame, rid: str, rx: str, ry: str, payload: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct coordinate (rx, ry), carrying the smallest id."""
+    best = F.min(F.struct(F.col(rid).alias("id"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(payload)]))
+    g = (df.where(_located(rx, ry)).groupBy(F.col(rx).alias("rx"), F.col(ry).alias("ry")).agg(best.alias("r")))
+    return g.select("rx", "ry", "r.*")
 
-    Expected candidates per left row in a 3x3 block of side-``s`` cells are
-    ``9 * s**2 * density``.  The density used is the larger of the average
-    and the peak (``peak_cell_count`` right points in the densest cell of
-    side ``max_distance``), so a dense cluster cannot make the first round
-    quadratic.  When the candidates stay below ``DENSE_CANDIDATES`` at
-    ``max_distance`` one round is used; otherwise the first cell holds about
-    16 candidates and sizes grow four-fold up to ``max_distance``.  Without a
-    limit (``max_distance == 0``) the rounds start from the average density
-    and continue until every row is resolved.
-    """
-    density = right_count / right_area if right_count > 0 and right_area > 0 else 0.0
-    if max_distance > 0 and peak_cell_count:
-        density = max(density, peak_cell_count / (max_distance * max_distance))
-    first = math.sqrt(16.0 / (9.0 * density)) if density > 0 else 1.0
-    if max_distance > 0:
-        if density <= 0 or 9.0 * max_distance ** 2 * density <= DENSE_CANDIDATES or first * 2 >= max_distance:
-            return [float(max_distance)]
-        s = max(first, max_distance / 4096.0)
-        sizes = []
-        while s * 2 < max_distance:
-            sizes.append(s)
-            s *= GROWTH
-        sizes.append(float(max_distance))
-        return sizes
-    return [first]
-
-
-def _right_points(right: DataFrame, rid: str, rx: str, ry: str, payload: list[str]) -> DataFrame:
-    """One row per distinct right coordinate, carrying the smallest id."""
-    best = F.min(F.struct(F.col(rid).alias("i"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(payload)]))
-    g = (right.where(_located(rx, ry))
-         .groupBy(F.col(rx).alias("__rx"), F.col(ry).alias("__ry")).agg(best.alias("__r")))
-    return g.select("__rx", "__ry", F.col("__r.i").alias("__rid"),
-                    *[F.col(f"__r.p{n}").alias(f"__rp{n}") for n in range(len(payload))])
-
-
-def _hot_cells(lcells: DataFrame, rpts: DataFrame, size: Column, skew_rows: int, replicate_left: bool):
-    """Cells too heavy for one task, with the salts of either side; None if there are none.
-
-    A side is split into parts of ``skew_rows`` rows; where the product of
-    what is left still exceeds ``skew_rows * PAIRS_PER_ROW`` pairs, the
-    larger side is split further.  All such cells are treated: the table is
-    joined, by broadcast only if Spark measures it small.
-    """
-    both = (lcells.select("__gx", "__gy", F.lit(1).alias("l"), F.lit(0).alias("r"))
-            .unionByName(rpts.select(F.floor(F.col("__rx") / size).alias("__gx"),
-                                     F.floor(F.col("__ry") / size).alias("__gy"),
-                                     F.lit(0).alias("l"), F.lit(1).alias("r"))))
-    n = both.groupBy("__gx", "__gy").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    n = n.withColumns({"fl": F.greatest(F.lit(1), F.ceil(F.col("l") / skew_rows)),
-                       "fr": F.greatest(F.lit(1), F.ceil(F.col("r") / skew_rows))})
-    pairs = (F.col("l") / F.col("fl")) * (F.col("r") / F.col("fr"))
-    more = F.greatest(F.lit(1), F.ceil(pairs / (float(skew_rows) * PAIRS_PER_ROW)))
-    wide = F.col("l") / F.col("fl") >= F.col("r") / F.col("fr")
-    n = n.select("__gx", "__gy", (F.col("fl") * F.when(wide, more).otherwise(1)).alias("fl"),
-                 (F.col("fr") * F.when(wide, 1).otherwise(more)).alias("fr")).where("fl > 1 or fr > 1")
-    # the copied side also lands in the eight neighbour cells: salt those too
-    copied, home = ("fl", "fr") if replicate_left else ("fr", "fl")
-    cell = F.explode(F.array(*[F.struct((F.col("__gx") + dx).alias("gx"), (F.col("__gy") + dy).alias("gy"),
-                                        F.lit(dx == dy == 0).alias("own")) for dx, dy in _OFFSETS])).alias("c")
-    e = (n.select(cell, copied, home)
-         .groupBy(F.col("c.gx").alias("__gx"), F.col("c.gy").alias("__gy"))
-         .agg(F.max(copied).cast("int").alias(f"__{copied}"),
-              F.max(F.when(F.col("c.own"), F.col(home)).otherwise(1)).cast("int").alias(f"__{home}"))
-         .checkpoint())
-    return None if e.isEmpty() else e
-
-
-def _round(pending: DataFrame, rpts: DataFrame, s: float, key: list[str], x: str, y: str,
-           n_payload: int, skew_rows: int, replicate_left: bool = False,
-           broadcast_copy: bool = False) -> DataFrame:
-    """Best right point within ``s`` for every pending row (``__best`` NULL if none)."""
-    size = F.lit(float(s))
-    lft = pending.select(F.floor(F.col(x) / size).alias("__gx"), F.floor(F.col(y) / size).alias("__gy"),
-                         *[F.col(k) for k in key], F.col(x).alias("__lx"), F.col(y).alias("__ly"))
-    lft = lft.where(_located("__lx", "__ly"))
-    rgt = rpts.select(F.floor(F.col("__rx") / size).alias("__gx"), F.floor(F.col("__ry") / size).alias("__gy"),
-                      "__rx", "__ry", "__rid", *[f"__rp{n}" for n in range(n_payload)])
-    # A broadcast join has no cell partitions, so no cell can hold a task.
-    hot = None if skew_rows <= 0 or broadcast_copy else _hot_cells(lft, rpts, size, skew_rows, replicate_left)
-
-    # Copy one side to the nine cells around its home cell (the smaller side,
-    # chosen by the caller from the row counts).
-    def copy9(df: DataFrame) -> DataFrame:
-        cells = F.explode(F.array(*[F.struct((F.col("__gx") + dx).alias("gx"), (F.col("__gy") + dy).alias("gy"))
-                                    for dx, dy in _OFFSETS])).alias("__c")
-        rest = [c for c in df.columns if c not in ("__gx", "__gy")]
-        return df.select(cells, *rest).select(F.col("__c.gx").alias("__gx"), F.col("__c.gy").alias("__gy"), *rest)
-
-    if replicate_left:
-        lft = copy9(lft)
-    else:
-        rgt = copy9(rgt)
-
-    join_keys = ["__gx", "__gy"]
-    if hot is not None:
-        lft = (lft.join(hot, join_keys, "left")
-               .withColumn("__sl", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.coalesce("__fl", F.lit(1))))
-               .withColumn("__sr", F.explode(F.sequence(F.lit(0), F.coalesce("__fr", F.lit(1)) - 1)))
-               .drop("__fl", "__fr"))
-        rgt = (rgt.join(hot, join_keys, "left")
-               .withColumn("__sr", F.pmod(F.xxhash64("__rid", "__rx", "__ry"), F.coalesce("__fr", F.lit(1))))
-               .withColumn("__sl", F.explode(F.sequence(F.lit(0), F.coalesce("__fl", F.lit(1)) - 1)))
-               .drop("__fl", "__fr"))
-        join_keys = join_keys + ["__sl", "__sr"]
-
-    # Inner join: AQE may split a skewed cell on either side.  Every left row's
-    # candidates are reduced to one per task before the shuffle on the key.
-    # Both sides are hash-partitioned on the cell key: a co-partitioned shuffle
-    # join whose parallelism does not depend on how the inputs were read.  The
-    # copied side grows with the data and is never broadcast on an estimate;
-    # AQE may still switch to a broadcast from measured sizes.
-    if broadcast_copy:  # the caller checked the row count of the copies
-        if replicate_left:
-            lft = F.broadcast(lft)
-        else:
-            rgt = F.broadcast(rgt)
-    else:
-        lft = lft.repartition(*[F.col(c) for c in join_keys])
-        rgt = rgt.repartition(*[F.col(c) for c in join_keys])
-    d = distance("__lx", "__ly", "__rx", "__ry")
-    cand = (lft.join(rgt, join_keys, "inner")
-            .withColumn("__d", d).where(F.col("__d") <= size)
-            .select(*key, F.struct(F.col("__d").alias("d"), F.col("__rid").alias("id"),
-                                   F.col("__rx").alias("x"), F.col("__ry").alias("y"),
-                                   *[F.col(f"__rp{n}").alias(f"p{n}") for n in range(n_payload)]).alias("__cand")))
-    best = cand.groupBy(*key).agg(F.min("__cand").alias("__best"))
-    return pending.join(best, key, "left")
-
-
-def _finish(df: DataFrame, names: PairColumns, payload_out: list[str]) -> DataFrame:
-    b = F.col("__best")
-    cols = {names.id: b["id"], names.x: b["x"], names.y: b["y"]}
-    for n, c in enumerate(payload_out):
-        cols[c] = b[f"p{n}"]
-    cols[names.distance] = b["d"]
-    return df.withColumns(cols).drop("__best")
 
+def _cell(x: str, y: str, size: float) -> list[Column]:
+    far = F.lit(1 << 60)            # coordinates beyond share a cell, so that neighbours stay in range
+    return [F.greatest(F.least(F.floor(F.col(c) / F.lit(float(size))), far), -far).alias(g)
+            for c, g in ((x, "gx"), (y, "gy"))]
 
-def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *,
-                 key: str | Sequence[str], x: str = "x", y: str = "y",
+
+def _measure(sides: Sequence[tuple[DataFrame, str, str, Sequence[str]]], size: float) -> list[Side]:
+    """Row counts, fullest cell, box and width of tables (df, x, y, carried columns), in one job."""
+    def text_bytes(df: DataFrame, cols: Sequence[str]) -> Column:
+        found = [c for c in cols if df.schema[c].dataType.typeName() not in _FIXED]
+        return sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in found], F.lit(0))
+    both = None
+    for s, (df, x, y, cols) in enumerate(sides):
+        part = df.select(F.lit(s).alias("s"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                         text_bytes(df, cols).alias("b"))
+        both = part if both is None else both.unionByName(part)
+    per_cell = (both.where(_located("x", "y")).groupBy("s", *_cell("x", "y", size)).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.min("y").alias("y0"), F.max("y").alias("y1")))
+    stats = {r["s"]: r for r in per_cell.groupBy("s").agg(
+        F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("peak"), F.min("x0").alias("x0"),
+        F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).collect()}
+    return [Side(stats[s]["n"], stats[s]["peak"], (stats[s]["x0"], stats[s]["y0"], stats[s]["x1"], stats[s]["y1"]),
+                 _ROW_BYTES + stats[s]["b"] / stats[s]["n"]) if s in stats else Side() for s in range(len(sides))]
+
+
+def _blocks(pts: DataFrame, size: float, fields: Sequence[str], near: DataFrame | None = None) -> DataFrame:
+    """Per cell (gx, gy) the points of the cell and the eight around it."""
+    cells = F.explode(F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy"))
+                                for dx, dy in _OFFSETS])).alias("c")
+    copies = pts.select(*_cell("rx", "ry", size), "rx", "ry", *fields).select(cells, "rx", "ry", *fields).select(
+        "c.gx", "c.gy", "rx", "ry", *fields)
+    if near is not None:
+        copies = copies.join(near, ["gx", "gy"], "left_semi")
+    return copies.groupBy("gx", "gy").agg(F.collect_list(F.struct(
+        F.col("rx").alias("x"), F.col("ry").alias("y"), *fields)).alias("pts"))
+
+
+def _best_type(pts: DataFrame, fields: Sequence[str]) -> str:
+    t = {n: pts.schema[n].dataType.simpleString() for n in ("rx", "ry", *fields)}
+    rest = "".join(f",{f}:{t[f]}" for f in fields[1:])
+    return f"struct<d:double,{fields[0]}:{t[fields[0]]},x:{t['rx']},y:{t['ry']}{rest}>"
+
+
+def _typical_cell(side: Side) -> float:
+    """Cell size that gives five points to a cell at the mean density."""
+    x0, y0, x1, y1 = side.box
+    area = (x1 - x0) * (y1 - y0)
+    return math.sqrt(5.0 * area / side.rows) if 0 < area < math.inf else 1.0
+
+
+def _by_cells(left: DataFrame, rpts: DataFrame, x: str, y: str, fields: Sequence[str], size: float, lside: Side,
+              rside: Side) -> DataFrame:
+    """Left rows with ``__best`` (null if none within ``size``) and ``__seen``, by cells."""
+    cells = left.where(_located(x, y)).select(*_cell(x, y, size)).distinct() if rside.rows > 2 * lside.rows else None
+    blocks = _blocks(rpts, size, fields, cells)
+    if 9 * rside.rows * rside.row_bytes <= BROADCAST_COPY_BYTES:
+        blocks = F.broadcast(blocks)
+    gx, gy = _cell(x, y, size)
+    return (left.withColumns({"__gx": gx, "__gy": gy})
+            .join(blocks.select(F.col("gx").alias("__cx"), F.col("gy").alias("__cy"), F.col("pts").alias("__pts")),
+                  (F.col("__gx") == F.col("__cx")) & (F.col("__gy") == F.col("__cy")) & _located(x, y), "left")
+            .withColumn("__best", closest(F.col("__pts"), F.col(x), F.col(y), fields))
+            .withColumn("__seen", F.coalesce(F.greatest(F.size("__pts"), F.lit(0)), F.lit(0)))
+            .withColumn("__best", F.when(F.col("__best.d") <= F.lit(size), F.col("__best")))
+            .drop("__gx", "__gy", "__cx", "__cy", "__pts"))
+
+
+def _by_tree(left: DataFrame, rpts: DataFrame, x: str, y: str, fields: Sequence[str], limit: float,
+             rside: Side) -> DataFrame:
+    """Left rows with ``__best`` (null if none within ``limit``; 0: no limit) and ``__seen``, by the index."""
+    tree = build(rpts, "rx", "ry", [(f, f) for f in fields], rside.rows, rside.box, rside.row_bytes)
+    spots = left.where(_located(x, y)).select(F.col(x).alias("__sx"), F.col(y).alias("__sy")).distinct()
+    best = descend(tree, spots, "__sx", "__sy", fields, limit)
+    return (left.join(best, (F.col(x) == F.col("__sx")) & (F.col(y) == F.col("__sy")), "left").drop("__sx", "__sy")
+            .withColumn("__seen", F.coalesce("__seen", F.lit(0)).cast("int")))
+
+
+def nearest_pair(left: DataFrame, right: DataFrame, max_distance: float, *, x: str = "x", y: str = "y",
                  right_id: str = "id", right_x: str = "x", right_y: str = "y",
                  right_payload: Sequence[str] = (), payload_out: Sequence[str] | None = None,
-                 names: PairColumns = PairColumns(), skew_rows: int = DEFAULT_SKEW_ROWS,
-                 schedule: Sequence[float] | None = None, unique: bool = False) -> DataFrame:
+                 names: PairColumns = PairColumns(), seen: str | None = None) -> DataFrame:
     """Left rows with their nearest right point (``max_distance == 0``: no limit).
 
-    ``key`` must identify left rows uniquely (no NULLs), which is checked
-    unless ``unique`` vouches for it.  Rows without finite coordinates keep
-    NULL pair columns.  Added columns:
-    ``names.id/x/y``, ``payload_out`` (the right payload columns, in order)
-    and ``names.distance`` (unrounded).
+    Rows without finite coordinates keep NULL pair columns.  Added columns:
+    ``names.id/x/y``, ``payload_out`` (the right payload columns, in order) and
+    ``names.distance`` (unrounded); ``seen``: how many right points the row was
+    compared with.
     """
     if not 0 <= max_distance < math.inf:
         raise ValueError("max_distance must be a number >= 0")
-    key = _as_list(key)
-    if not unique:
-        check_key(left, key)
     payload = list(right_payload)
     payload_out = list(payload_out) if payload_out is not None else [f"{names.id}_{c}" for c in payload]
     if len(payload_out) != len(payload):
         raise ValueError("payload_out must name every payload column")
-    rpts = _right_points(right, right_id, right_x, right_y, payload).checkpoint()
+    fields = ["id", *[f"p{n}" for n in range(len(payload))]]
+    rpts = _points(right, right_id, right_x, right_y, payload).checkpoint()
+    size = float(max_distance) if max_distance > 0 else 1.0
+    sides = [(left, x, y, []), (rpts, "rx", "ry", fields)]
+    lside, rside = _measure(sides, size)
+    if max_distance == 0 and rside.rows:
+        size = _typical_cell(rside)
+        lside, rside = _measure(sides, size)
+
+    if rside.rows == 0:
+        out = left.withColumn("__best", F.lit(None).cast(_best_type(rpts, fields))).withColumn("__seen", F.lit(0))
+    elif 9 * rside.peak <= DENSE_CANDIDATES and lside.peak <= HOT_ROWS:
+        out = _by_cells(left, rpts, x, y, fields, size, lside, rside)
+        if max_distance == 0:      # a best point within the cell size is final
+            out = out.checkpoint()
+            alone = F.col("__best").isNull() & _located(x, y)
+            if not out.where(alone).isEmpty():
+                rest = _by_tree(out.where(alone).select(*left.columns), rpts, x, y, fields, 0.0, rside)
+                out = out.where(~alone).unionByName(rest)
+    else:
+        out = _by_tree(left, rpts, x, y, fields, max_distance, rside)
 
-    # One job over both inputs: per-cell counts (cells of side max_distance)
-    # rolled up to row counts (which side to copy), the right side's bounding
-    # box and its densest cell (cell sizes).  Right points are counted after
-    # coordinate de-duplication, as they are joined.
-    cell = float(max_distance) if max_distance > 0 else 1.0
+    b = F.col("__best")
+    cols = {names.id: b["id"], names.x: b["x"], names.y: b["y"], **{c: b[f"p{n}"] for n, c in enumerate(payload_out)},
+            names.distance: b["d"]}
+    if seen:
+        cols[seen] = F.col("__seen")
+    return out.withColumns(cols).drop("__best", "__seen")
 
-    def text_bytes(df: DataFrame, cols: Sequence[str]) -> Column:
-        found = [c for c in cols if df.schema[c].dataType.typeName() not in _FIXED]
-        return sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in found], F.lit(0))
 
-    both = (left.select(F.lit(0).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"),
-                        text_bytes(left, key).alias("b"))
-            .unionByName(rpts.select(F.lit(1).alias("s"), F.col("__rx").alias("x"), F.col("__ry").alias("y"),
-                                     text_bytes(rpts, ["__rid", *[f"__rp{n}" for n in range(len(payload))]])
-                                     .alias("b")))
-            .where(_located("x", "y")))
-    per_cell = both.groupBy("s", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"))
-    stats = {r["s"]: r for r in per_cell.groupBy("s").agg(
-        F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("peak"), F.min("x0").alias("x0"),
-        F.max("x1").alias("x1"),
-        F.min("y0").alias("y0"), F.max("y1").alias("y1")).collect()}
-    n_left = stats[0]["n"] if 0 in stats else 0
-    n_right = stats[1]["n"] if 1 in stats else 0
-    if n_right == 0:
-        return _finish(left.withColumn("__best", F.lit(None).cast(_best_type(right, right_id, right_x, right_y, payload))),
-                       names, payload_out)
-    replicate_left = n_right > 2 * n_left  # rows shuffled: 18L + R against 2L + 9R
-    # a cell of a round lies in at most four of the counted cells
-    most = ([4 * stats[s]["peak"] if s in stats else 0 for s in (0, 1)] if max_distance > 0 else [n_left, n_right])
-    if max(most) <= skew_rows and most[0] * most[1] <= skew_rows * PAIRS_PER_ROW:
-        skew_rows = 0  # no cell can be too heavy: skip the hot-cell job
-    if schedule is None:
-        st = stats[1]
-        peak = st["peak"] if max_distance > 0 else None
-        schedule = cell_schedule(max_distance, n_right, (st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), peak)
-    schedule = list(schedule)
-
-    width = {s: _ROW_BYTES + (stats[s]["b"] / stats[s]["n"] if s in stats else 0) for s in (0, 1)}
-
-    def small(n_copied: int, side: int) -> bool:
-        return 9 * n_copied * width[side] <= BROADCAST_COPY_BYTES
-
-    if max_distance > 0 and len(schedule) == 1:
-        bc = small(n_left, 0) if replicate_left else small(n_right, 1)
-        return _finish(_round(left, rpts, schedule[0], key, x, y, len(payload), skew_rows, replicate_left, bc),
-                       names, payload_out)
-
-    # rows without coordinates can never be resolved: they take no part in the rounds
-    lost = left.where(~_located(x, y))
-    done: list[DataFrame] = []
-    pending = left.where(_located(x, y))
-    n_pending = n_left
-    s = schedule[0]
-    i = 0
-    while True:
-        copy_left = n_right > 2 * n_pending
-        bc = small(n_pending, 0) if copy_left else small(n_right, 1)
-        out = _round(pending, rpts, s, key, x, y, len(payload), skew_rows, copy_left, bc).checkpoint()
-        done.append(out.where(F.col("__best").isNotNull()))
-        pending = out.where(F.col("__best").isNull()).drop("__best")
-        n_pending = pending.count()  # read from the checkpoint
-        i += 1
-        if max_distance > 0:
-            if i >= len(schedule):
-                done.append(pending.withColumn("__best", F.lit(None).cast(out.schema["__best"].dataType)))
-                break
-            s = schedule[i]
-        else:
-            if n_pending == 0:
-                break
-            s = s * GROWTH
-    result = lost.withColumn("__best", F.lit(None).cast(out.schema["__best"].dataType))
-    for part in done:
-        result = result.unionByName(part)
-    return _finish(result, names, payload_out)
-
-
-def _best_type(right: DataFrame, rid: str, rx: str, ry: str, payload: list[str]) -> str:
-    t = right.schema
-    fields = [f"d double", f"id {t[rid].dataType.simpleString()}", f"x {t[rx].dataType.simpleString()}",
-              f"y {t[ry].dataType.simpleString()}"]
-    fields += [f"p{n} {t[c].dataType.simpleString()}" for n, c in enumerate(payload)]
-    return "struct<" + ",".join(f.replace(" ", ":") for f in fields) + ">"
-
-
-def mutual_pairs(left: DataFrame, right: DataFrame, max_distance: float, *, unique: bool = False,
-                 left_key: str, right_key: str, x: str = "x", y: str = "y",
-                 skew_rows: int = DEFAULT_SKEW_ROWS) -> DataFrame:
+def mutual_pairs(left: DataFrame, right: DataFrame, max_distance: float, *, left_key: str, right_key: str,
+                 x: str = "x", y: str = "y") -> DataFrame:
     """Pairs that are each other's nearest point (ties by distance, then id).
 
     Returns ``left_key``, ``right_key`` (as ``<right_key>_r``) and ``distance``.
     """
-    a = nearest_pair(left.select(left_key, x, y), right.select(right_key, x, y), max_distance,
-                     key=left_key, x=x, y=y, right_id=right_key,
-                     names=PairColumns("__nid", "__nx", "__ny", "__nd"), skew_rows=skew_rows, unique=unique)
-    b = nearest_pair(right.select(right_key, x, y), left.select(left_key, x, y), max_distance,
-                     key=right_key, x=x, y=y, right_id=left_key,
-                     names=PairColumns("__mid", "__mx", "__my", "__md"), skew_rows=skew_rows, unique=unique)
-    a = a.where(F.col("__nid").isNotNull()).select(F.col(left_key).alias("__l"), F.col("__nid").alias("__r"),
-                                                    F.col("__nd").alias("distance"))
-    b = b.where(F.col("__mid").isNotNull()).select(F.col(right_key).alias("__r"), F.col("__mid").alias("__l"))
-    return a.join(b, ["__l", "__r"]).select(F.col("__l").alias(left_key),
-                                            F.col("__r").alias(f"{right_key}_r"), "distance")
+    if not 0 <= max_distance < math.inf:
+        raise ValueError("max_distance must be a number >= 0")
+    lpts = _points(left, left_key, x, y).checkpoint()
+    rpts = _points(right, right_key, x, y).checkpoint()
+    size = float(max_distance) if max_distance > 0 else 1.0
+    lside, rside = _measure([(lpts, "rx", "ry", ["id"]), (rpts, "rx", "ry", ["id"])], size)
+    names = F.col("l").alias(left_key), F.col("r").alias(f"{right_key}_r"), F.col("d").alias("distance")
+    if not (max_distance > 0 and 9 * max(lside.peak, rside.peak) <= DENSE_CANDIDATES):
+        cols = PairColumns("r", "x", "y", "d")
+        fwd = nearest_pair(lpts.select("rx", "ry", F.col("id").alias("l")), rpts, max_distance, x="rx", y="ry",
+                           right_x="rx", right_y="ry", names=cols).where("r is not null").select("l", "r", "d")
+        asked = rpts.join(fwd.select(F.col("r").alias("id")).distinct(), "id", "left_semi")
+        back = nearest_pair(asked.select("rx", "ry", F.col("id").alias("of")), lpts, max_distance, x="rx", y="ry",
+                            right_x="rx", right_y="ry", names=cols)
+        back = back.select(F.col("of").alias("r"), F.col("r").alias("l"))
+        return fwd.join(back, ["l", "r"]).select(*names)
+    # a fixed number of partitions: cells are narrow rows, but each compares all its points
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homes = (lpts.select(*_cell("rx", "ry", size), "rx", "ry", "id").repartition(parts, "gx", "gy")
+             .groupBy("gx", "gy").agg(
+        F.collect_list(F.struct(F.col("rx").alias("x"), F.col("ry").alias("y"), "id")).alias("own")))
+    blocks = _blocks(rpts, size, ["id"])
+    if 9 * rside.rows * rside.row_bytes <= BROADCAST_COPY_BYTES:
+        blocks = F.broadcast(blocks)
+
+    def best_of(these: str, those: str) -> Column:
+        """Per point of one array its id and the best point of the other."""
+        return F.transform(these, lambda p: F.struct(
+            p["id"].alias("of"), closest(F.col(those), p["x"], p["y"], ["id"]).alias("best")))
+    met = homes.join(blocks, ["gx", "gy"])
+    rows = met.select(F.explode(F.concat(
+        F.transform(best_of("own", "pts"), lambda e: F.struct(
+            F.lit(True).alias("fwd"), e["of"].alias("l"), e["best"]["id"].alias("r"), e["best"]["d"].alias("d"))),
+        F.transform(best_of("pts", "own"), lambda e: F.struct(
+            F.lit(False).alias("fwd"), e["best"]["id"].alias("l"), e["of"].alias("r"), e["best"]["d"].alias("d"))))
+    ).alias("e")).select("e.*").where(F.col("d") <= F.lit(size))
+    # by right point: its best left point, and the left points that chose it (at most those of a 3x3 block)
+    return (rows.groupBy("r").agg(
+        F.min(F.when(~F.col("fwd"), F.struct("d", "l"))).alias("back"),
+        F.collect_set(F.when(F.col("fwd"), F.col("l"))).alias("chosen"))
+        .where(F.array_contains("chosen", F.col("back.l"))).select("r", "back.l", "back.d").select(*names))

@@ -29,7 +29,7 @@ TOLERANCE = 0.2
 def nearest_pair_q(spark: SparkSession, sf: str) -> DataFrame:
     p = fx.inp(spark, sf)
     c = fx.cmp(spark, sf)
-    r = nearest_pair(p.select("k", "id", "x", "y"), c, MAX_DISTANCE, key="k",
+    r = nearest_pair(p.select("k", "id", "x", "y"), c, MAX_DISTANCE,
                      names=PairColumns("cid", "cx", "cy", "d"))
     return r.select("id", "cid", F.col("d").alias("d"))
 
@@ -410,7 +410,7 @@ def _grid_heights_sql() -> str:
 def nearest_unlimited_q(spark, sf):
     p = fx.inp(spark, sf)
     c = fx.cmp(spark, sf)
-    r = nearest_pair(p.select("k", "id", "x", "y"), c, 0.0, key="k",
+    r = nearest_pair(p.select("k", "id", "x", "y"), c, 0.0,
                      names=PairColumns("cid", "cx", "cy", "d"))
     return r.select("id", "cid", "d")
 
@@ -813,9 +813,10 @@ def enrich_csv_q(spark, sf):
 # --- registry --------------------------------------------------------------------------------
 
 def queries() -> dict[str, Query]:
-    from . import catalog_rows
+    from . import catalog_rows, catalog_space
     return {
         **catalog_rows.queries(),
+        **catalog_space.queries(),
         "nearest_pair": nearest_pair_q,
         "nearest_unlimited": nearest_unlimited_q,
         "nearest_mutual": nearest_mutual_q,
@@ -862,10 +863,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_rows
+    from . import catalog_rows, catalog_space
     inp_proj = f"WITH {q.INP},\n" + INP_PROJ
     return {
         **catalog_rows.oracle_sql(),
+        **catalog_space.oracle_sql(),
         "nearest_pair": _nearest_sql(MAX_DISTANCE) + "\nSELECT id, cid, d FROM paired",
         "nearest_unlimited": _nearest_unlimited_sql(),
         "nearest_mutual": _nearest_mutual_sql(),

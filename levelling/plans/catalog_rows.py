@@ -38,7 +38,7 @@ def _holes(p: DataFrame) -> DataFrame:
 
 def nearest_unlimited_holes_q(spark: SparkSession, sf: str) -> DataFrame:
     p = _holes(fx.inp(spark, sf)).select("k", "id", "x", "y")
-    r = nearest_pair(p, fx.cmp(spark, sf), 0.0, key="k", names=PairColumns("cid", "cx", "cy", "d"))
+    r = nearest_pair(p, fx.cmp(spark, sf), 0.0, names=PairColumns("cid", "cx", "cy", "d"))
     return r.select("id", "cid", "d")
 
 

@@ -72,7 +72,7 @@ def compare(points: DataFrame, *, key: str | Sequence[str], order: str | Sequenc
     """Modes 1-3: points (id, x, y, h) against a reference file and/or terrain heights.
 
     ``key`` (one or more columns; ``["source_file", "row_no"]`` for files)
-    identifies rows uniquely and is checked; ``order`` (default ``key``)
+    is carried along for ``order`` and need not be unique; ``order`` (default ``key``)
     defines the first row for axis detection, which ``by`` (for instance
     ``source_file``) makes per file.  ``service_options``: ``tasks``,
     ``threads_per_task`` and the other options of ``fetch_answers``.  Returns
@@ -94,7 +94,7 @@ def compare(points: DataFrame, *, key: str | Sequence[str], order: str | Sequenc
                        F.col("h").alias("h_odniesienia"), *extra)
     if file_pair:
         ref = reference.select(F.col("id").cast("string").alias("id"), "x", "y", "h")
-        df = nearest_pair(df, ref, max_distance, key=key, x="x_odniesienia", y="y_odniesienia",
+        df = nearest_pair(df, ref, max_distance, x="x_odniesienia", y="y_odniesienia",
                           right_payload=["h"], payload_out=["h_porownania"],
                           names=PairColumns())
     if service:

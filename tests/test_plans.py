@@ -32,9 +32,9 @@ def test_large_sides_are_joined_by_shuffles_on_the_cell(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         p = fx.inp(spark, SF).select("k", "x", "y")
-        out = pairing.nearest_pair(p, fx.cmp(spark, SF), 15.0, key="k", schedule=[15.0])
+        out = pairing.nearest_pair(p, fx.cmp(spark, SF), 15.0)
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert "SortMergeJoin" in plan and "hashpartitioning(__gx" in plan
+    assert "SortMergeJoin" in plan and "hashpartitioning(__gx" in plan and "hashpartitioning(gx" in plan
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Broadcast" not in plan

@@ -10,7 +10,7 @@ from levelling.cli import _args
 from levelling.operators.axes import roles_per_file
 from levelling.operators.lookup import (failed_keys, fetch_answers, fetch_with_retry, join_heights,
                                         last_answer_wins, parse_answer, parse_response)
-from levelling.operators.pairing import DuplicateKeyError, PairColumns, nearest_pair
+from levelling.operators.pairing import PairColumns, nearest_pair
 from levelling.plans.pipelines import compare
 from levelling.sinks.writers import (input_metrics, plain_text, qa_outputs, spatial_layer, split_layer, write_csv,
                                      write_layer)
@@ -102,10 +102,8 @@ def test_files_with_colliding_numbers_keep_their_own_pairs(spark):
     got = {r.id_odniesienia: (r.id_porownania, r.odleglosc_pary) for r in
            compare(pts, key=["source_file", "row_no"], reference=ref).collect()}
     assert got == {"p": ("r", 0.5), "q": (None, None)}
-    with pytest.raises(DuplicateKeyError):
-        compare(pts, key="row_no", reference=ref)
-    with pytest.raises(DuplicateKeyError):
-        nearest_pair(pts.withColumn("k", F.when(F.col("id") == "p", 1)), ref, 5.0, key="k")
+    again = compare(pts, key="row_no", reference=ref).collect()   # keys that repeat change nothing
+    assert {r.id_odniesienia: (r.id_porownania, r.odleglosc_pary) for r in again} == got
 
 
 def test_unlimited_search_ends_with_missing_coordinates_and_outliers(spark):
@@ -115,12 +113,12 @@ def test_unlimited_search_ends_with_missing_coordinates_and_outliers(spark):
     pts = spark.createDataFrame(rows, POINTS)
     ref = spark.createDataFrame([("r", i, f"r{i}", i + 0.25, float(i % 7), 0.0) for i in range(300)]
                                 + [("r", 999, "none", None, 0.0, 0.0)], POINTS)
-    out = nearest_pair(pts, ref, 0.0, key=["source_file", "row_no"], names=PairColumns("rid", "rx", "ry", "d"))
+    out = nearest_pair(pts, ref, 0.0, names=PairColumns("rid", "rx", "ry", "d"))
     got = {r.id: r.rid for r in out.collect()}
     assert len(got) == len(rows) and got["null"] is got["nan"] is got["inf"] is None
     far = min(range(300), key=lambda i: ((i + 0.25 - 9e7) ** 2 + (i % 7 + 9e7) ** 2, f"r{i}"))
     assert got["far"] == f"r{far}" and all(got[f"p{i}"] == f"r{i}" for i in range(300))
-    limited = nearest_pair(pts, ref, 1.0, key=["source_file", "row_no"], names=PairColumns("rid", "rx", "ry", "d"))
+    limited = nearest_pair(pts, ref, 1.0, names=PairColumns("rid", "rx", "ry", "d"))
     assert {r.id: r.rid for r in limited.collect()} == {**got, "far": None}
 
 
