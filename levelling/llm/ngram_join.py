@@ -25,9 +25,10 @@ joins are plain equi-joins on the n-gram, whose large partitions Spark splits.
 Defined results: with fewer words than n the whole sequence is one n-gram; null
 texts, empty texts and texts of blanks have an empty set and link with nothing;
 so do rows with a null id (component_id null); rows that repeat an id are
-documents of their own, one output row each; an empty table gives an empty
-result; other columns are ignored by ``jaccard_components``, kept by
-``keep_one``.
+documents of their own, one output row each: two texts of one id link like any
+other two, and a link of one of them says nothing about the other; an empty table
+gives an empty result; other columns are ignored by ``jaccard_components``, kept
+by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -153,9 +154,10 @@ _SETS = "doc_id long, mark long, n int, digest binary, prefix array<long>, parts
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """``doc_id, mark, n_shingles, component_id`` of every row; ``mark`` is the hash of its text.
+    """``doc_id, mark, n_shingles, component_id, node`` of every row; ``mark`` is the hash of its text.
 
-    Two documents link when ``100 * intersection >= percent * union``.
+    ``node`` numbers the components (null for rows that cannot link; two
+    components may have an id in common, if that id repeats).  Two documents link when ``100 * intersection >= percent * union``.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -182,9 +184,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
                                   F.col("text").cast("binary").alias("text"))
                     .mapInArrow(sets, _SETS), "sets")
     classes = stash(scanned.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"),
-        F.min_by(F.struct("n", "prefix", "parts"), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
-    posts = classes.where("prefix is not null").select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
+        F.min(F.struct("doc_id", "mark")).alias("rep"),
+        F.min_by(F.struct("n", "prefix", "parts"), "doc_id").alias("s")).select(
+        "digest", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"),
+        F.monotonically_increasing_id().alias("node"), "s.*"), "classes")
+    posts = classes.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = posts.groupBy("gram").count().where("count > 1").select("gram")
     posts = stash(posts.join(shared, "gram"), "posts")
 
@@ -201,33 +205,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a < b) those that link; suffix filter, then whole sets."""
-        c = classes.select("rep", "n", "parts", "digest")
-        pairs = (pairs.join(c.select(*[F.col(x).alias(f"{x}_a") for x in c.columns]), F.col("a") == F.col("rep_a"))
-                 .join(c.select(*[F.col(x).alias(f"{x}_b") for x in c.columns]), F.col("b") == F.col("rep_b")))
+        c = classes.select("node", "n", "parts")
+        pairs = (pairs.join(c.select(*[F.col(x).alias(f"{x}_a") for x in c.columns]), F.col("a") == F.col("node_a"))
+                 .join(c.select(*[F.col(x).alias(f"{x}_b") for x in c.columns]), F.col("b") == F.col("node_b")))
         apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))),
                             F.lit(0), lambda s, x: s + x)
         pairs = stash(pairs.where(apart <= F.col("n_a") + F.col("n_b") - 2 * need(F.col("n_a"), F.col("n_b")))
-                      .select("a", "b", "digest_a", "digest_b"), "pairs")
-        wanted = pairs.select(F.col("a").alias("rep"), F.col("digest_a").alias("digest")).unionByName(
-            pairs.select(F.col("b").alias("rep"), F.col("digest_b").alias("digest"))).distinct()
+                      .select("a", "b"), "pairs")
+        wanted = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+                       .distinct().join(classes.select("node", "rep", "mark", "digest"), "node"), "wanted")
 
         def whole(batches):
             for b in batches:
-                want, rep = b["digest"].to_pylist(), b["rep"].to_pylist()
-                out = {"rep": [], "keys": []}
+                want, node = b["digest"].to_pylist(), b["node"].to_pylist()
+                out = {"node": [], "keys": []}
                 for i, k in enumerate(key_sets(b["text"], n, order.value)):
-                    if _digest(k) == want[i]:  # another row may repeat the id
-                        out["rep"].append(rep[i])
+                    if _digest(k) == want[i]:
+                        out["node"].append(node[i])
                         out["keys"].append(k.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["rep"], pa.int64()),
-                                                  pa.array(out["keys"], pa.binary())], names=["rep", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()),
+                                                  pa.array(out["keys"], pa.binary())], names=["node", "keys"])
 
         # texts that nobody asks for are dropped before the shuffle: by id bucket, a table of at most BUCKETS rows
         near = wanted.select(bucket("rep")).distinct()
         asked = source.withColumn("bucket", bucket("doc_id")).join(F.broadcast(near), "bucket", "left_semi")
-        full = stash(asked.join(wanted, F.col("doc_id") == F.col("rep"))
-                     .select("rep", "digest", F.col("text").cast("binary").alias("text"))
-                     .mapInArrow(whole, "rep long, keys binary"), "whole")
+        full = stash(asked.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("mark")))
+                     .select("node", "digest", F.col("text").cast("binary").alias("text"))
+                     .mapInArrow(whole, "node long, keys binary"), "whole")
 
         def compare(batches):
             for b in batches:
@@ -240,24 +244,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return stash(pairs.select("a", "b")
-                     .join(full.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a")
-                     .join(full.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
+                     .join(full.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a")
+                     .join(full.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
                      .select("a", "b", "ka", "kb").mapInArrow(compare, "a long, b long").distinct(), "links")
 
     # one hub per document
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("hub"))
-    tries = (posts.join(hubs, "gram").where(F.col("rep") != F.col("hub.rep"))
+    hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
+    tries = (posts.join(hubs, "gram").where(F.col("node") != F.col("hub.node"))
              .where(passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-             .groupBy("rep", F.col("hub.rep").alias("hub")).count()
-             .groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("neg"))).alias("best"))
-             .select("rep", (-F.col("best.neg")).alias("hub")))
-    first = stash(tries.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+             .groupBy("node", F.col("hub.node").alias("hub")).count()
+             .groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("neg"))).alias("best"))
+             .select("node", (-F.col("best.neg")).alias("hub")))
+    first = stash(tries.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
                   .distinct(), "tries")
     links = verify(first)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # pairs of different components
-    known = posts.join(comp, F.col("rep") == F.col("node"), "left").select(
-        "gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    known = posts.join(comp, "node", "left").select(
+        "gram", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     mixed = (known.groupBy("gram", "comp").count().groupBy("gram")
              .agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("count", "comp")).alias("top"))
              .where("k > 1").select("gram", F.col("top.comp").alias("top")))
@@ -265,34 +269,40 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     a, b = known.where("comp <> top").alias("a"), known.alias("b")
     cross = (a.join(b, F.col("a.gram") == F.col("b.gram"))
              .where((F.col("a.comp") != F.col("b.comp"))
-                    & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep")))
+                    & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
                     & passes(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
-             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
              .join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(verify(stash(cross, "cross")))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    final = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id"))
+    placed = stash(classes.select("digest", "rep", "node").join(comp, "node", "left").select(
+        "digest", "rep", F.coalesce("component", "node").alias("node")), "placed")
+    final = placed.join(placed.groupBy("node").agg(F.min("rep").alias("component_id")), "node").select(
+        "digest", "node", "component_id")
     linked = scanned.where("digest is not null and doc_id is not null").join(final, "digest").select(
-        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
     alone = scanned.where("digest is null or doc_id is null").select(
-        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        F.lit(None).cast("long").alias("node"))
     return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without the later members of every component: the smallest id stays.
 
-    Of rows that repeat id and text one stays; different texts under one id are judged each.
+    Of rows that repeat id and text one stays; different texts under one id are
+    judged each, and of near copies under one id that with the smallest hash stays.
     """
     key, text = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = stash(jaccard_components(docs, **options), "found")
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    best = found.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    found = stash(found.join(best, "node", "left").withColumn("stays", F.coalesce(
+        F.col("best") == F.struct("doc_id", "mark"), F.lit(True))), "judged")
+    gone = found.where("not stays").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     mark = F.xxhash64(text)
     left = docs.join(gone, (F.col(key) == F.col("__id")) & (mark == F.col("__mark")), "left_anti")
     # rows that repeat id and text of a document that stays: one of them stays
-    again = (found.where((F.col("component_id") == F.col("doc_id")) & (F.col("n_shingles") > 0))
+    again = (found.where("stays and node is not null")
              .groupBy("doc_id", "mark").count().where("count > 1")
              .select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
     same = (F.col(key) == F.col("__id")) & (mark == F.col("__mark"))

@@ -90,7 +90,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
-    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark")
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("mark", "node")
 
 
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

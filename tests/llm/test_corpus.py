@@ -259,3 +259,27 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert max(times.values()) <= 3 and set(times) <= {r.doc_id for r in seen["personal data"]}
     packed = corpus_pipeline.pack(spark, at, sf).collect()
     assert sorted(r.doc_id for r in packed) == sorted(r.doc_id for r in seen["mix"])
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a = [f"w{i}" for i in range(40)]
+    near, other = a + ["x"], [f"v{i}" for i in range(40)]
+    rows = [(3, " ".join(a)), (5, " ".join(near)), (5, " ".join(other)), (9, " ".join(other + ["y"])), (7, "solo text here"),
+            (8, " ".join(f"u{i}" for i in range(50))), (8, " ".join(f"u{i}" for i in range(51)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in
+                 ngram_join.jaccard_components(docs, n=3, percent=90).collect())
+    assert got == [(3, 38, 3), (5, 38, 5), (5, 39, 3), (7, 1, 7), (8, 48, 8), (8, 49, 8), (9, 39, 5)]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs, n=3, percent=90).collect())
+    assert [k for k, _ in kept] == [3, 5, 7, 8] and kept[1][1] == " ".join(other)
+
+
+def test_copies_belong_to_their_source(spark):
+    text = "one two three four"
+    rows = [(1, text, "a"), (1, text, "b")] + [(10 + i, "w " * 400, "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    take = {(r.doc_id, r.source_size): r.copies for r in entropy_mix.mixed(docs, weights=(2, 1), cap=3).collect()}
+    got = entropy_mix.apply_mix(docs, weights=(2, 1), cap=3).groupBy("doc_id", "source").count().collect()
+    sizes = {"a": 4, "b": 4 + 30 * 400}
+    assert {(r.doc_id, r.source): r["count"] for r in got} == {
+        (i, s): take[i, sizes[s]] for i, _, s in rows if take[i, sizes[s]]}
