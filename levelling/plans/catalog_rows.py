@@ -142,6 +142,33 @@ def _scan_wide_files_sql() -> str:
 SELECT concat('P_', CAST(k AS VARCHAR)) AS id, {num[0]} AS x, {num[1]} AS y, {num[2]} AS h FROM o"""
 
 
+def scan_quarantine_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Good rows (reason null) and rejected lines of a file with bad heights, blank lines and long lines."""
+    from ..sources.delimited import parse_points
+    from ..sources.rejects import reject_lines
+    k = F.col("o_orderkey")
+    row = [k.cast("string"), base._txt(5900000, (k * k * 7919 + k * 104729) % 199999), F.lit("7400000"),
+           F.when(k % 8 == 4, F.lit("1d")).when(k % 8 == 5, F.lit("")).otherwise(base._txt(100, (k * 31) % 5000))]
+    text = F.concat_ws(";", *row, F.when(k % 8 == 7, F.lit("more")))
+    lines = fx.table(spark, sf, "orders").select(
+        F.lit("pts_q.csv").alias("source_file"), (k + 1).alias("line_no"), F.when(k % 8 == 6, F.lit("  ")).otherwise(text).alias("value"))
+    lines = lines.unionByName(lines.where("line_no % 8 = 1").withColumns(
+        {"source_file": F.lit("pts_r.csv"), "value": F.lit("one")}))
+    good = parse_points(lines, on_bad="quarantine").select(
+        "source_file", "id", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("column"),
+        F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(reject_lines(lines).select("source_file", F.lit(None).cast("string").alias("id"), "line_no",
+                                                       "column", "reason"))
+
+
+def _scan_quarantine_sql() -> str:
+    return """SELECT 'pts_q.csv' AS source_file, CASE WHEN k % 8 < 4 THEN CAST(k AS VARCHAR) END AS id,
+       CASE WHEN k % 8 >= 4 THEN k + 1 END AS line_no, CASE WHEN k % 8 IN (4, 5) THEN 'h' END AS "column",
+       CASE k % 8 WHEN 4 THEN 'not a number' WHEN 5 THEN 'missing value' WHEN 6 THEN 'blank' WHEN 7 THEN 'too many cells' END AS reason
+FROM (SELECT o_orderkey AS k FROM orders)
+UNION ALL SELECT 'pts_r.csv', NULL, o_orderkey + 1, NULL, 'no layout' FROM orders WHERE o_orderkey % 8 = 0"""
+
+
 # --- rings taken from rows ----------------------------------------------------------------------
 
 def _ring_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,6 +295,7 @@ def queries():
         "parse_response_spaces": parse_response_spaces_q,
         "csv_text": csv_text_q,
         "scan_wide_files": scan_wide_files_q,
+        "scan_quarantine": scan_quarantine_q,
         "points_in_large_ring": points_in_large_ring_q,
         "hex_grid_rows": hex_grid_rows_q,
         "grid_heights_rows": grid_heights_rows_q,
@@ -282,6 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_response_spaces": _parse_response_spaces_sql(),
         "csv_text": _csv_text_sql(),
         "scan_wide_files": _scan_wide_files_sql(),
+        "scan_quarantine": _scan_quarantine_sql(),
         "points_in_large_ring": _points_in_large_ring_sql(),
         "hex_grid_rows": "WITH " + _octant_grid_sql() + "\nSELECT id, x, y FROM centres",
         "grid_heights_rows": _grid_heights_rows_sql(),
