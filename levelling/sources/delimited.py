@@ -21,6 +21,9 @@ reducer; beyond that the same joins are shuffled.
 A file without an acceptable layout is never skipped silently: unless bad
 files are to be left out, ``BadFileError`` names it.
 
+Files themselves go through ``layout``, which reads their text three times;
+the functions here take any table of lines.
+
 ``lines`` DataFrames have the columns ``source_file``, ``line_no``, ``value``;
 those of ``read_lines`` also ``file_split``, which says that the rows of one
 split stand in file order.
@@ -327,14 +330,16 @@ def _by_format(paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
     return [p for p in paths if p not in books], books
 
 
+def _bare_path(p: str) -> str:
+    return re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", unquote(p))
+
+
 def _text_lines(spark: SparkSession, paths: Sequence[str], on_bad: str) -> DataFrame:
     """Lines of text files; a file without any line is a bad file."""
     lines = read_lines(spark, paths)
     if on_bad == "fail":
-        def bare(p: str) -> str:
-            return re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", unquote(p))
-        files = {bare(p): p for p in spark.read.text(paths).inputFiles()}
-        seen = {bare(r[0]) for r in lines.where(F.trim(F.col("value")) != "")
+        files = {_bare_path(p): p for p in spark.read.text(paths).inputFiles()}
+        seen = {_bare_path(r[0]) for r in lines.where(F.trim(F.col("value")) != "")
                 .select("source_file").distinct().collect()}  # one row per input file, listed above anyway
         empty = sorted(files[p] for p in files.keys() - seen)
         if empty:
@@ -344,10 +349,12 @@ def _text_lines(spark: SparkSession, paths: Sequence[str], on_bad: str) -> DataF
 
 def read_points(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFrame:
     """Point files: .xlsx workbooks through ``workbook``, anything else as delimited text."""
+    from .layout import read_text
     text, books = _by_format(paths)
     parts = []
     if text:
-        parts.append(parse_points(_text_lines(spark, text, kw.get("on_bad", "fail")), **kw))
+        rows = read_text(spark, text, "points", **kw)
+        parts.append(parse_points(_text_lines(spark, text, kw.get("on_bad", "fail")), **kw) if rows is None else rows)
     if books:
         from .workbook import read_workbook_points
         parts.append(read_workbook_points(spark, books, **kw))
@@ -358,10 +365,12 @@ def read_points(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFr
 
 
 def read_scope(spark: SparkSession, paths: str | Sequence[str], **kw) -> DataFrame:
+    from .layout import read_text
     text, books = _by_format(paths)
     parts = []
     if text:
-        parts.append(parse_scope(_text_lines(spark, text, kw.get("on_bad", "fail")), **kw))
+        rows = read_text(spark, text, "scope", **kw)
+        parts.append(parse_scope(_text_lines(spark, text, kw.get("on_bad", "fail")), **kw) if rows is None else rows)
     if books:
         from .workbook import read_workbook_scope
         parts.append(read_workbook_scope(spark, books, **kw))
