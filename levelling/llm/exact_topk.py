@@ -9,9 +9,10 @@ the row counts (more rows: larger tiles up to a fixed size); they change how
 work is dealt, never the result.
 
 Defined results: a null id or an unusable vector (null, or with null, NaN or
-infinite components) takes no part, neither as query nor as candidate; rows
-that repeat an id count once, with the smallest of their vectors; only vectors
-of equal length are compared (an empty vector has score 0 with empty ones);
+infinite components) takes no part, neither as query nor as candidate; every
+row is a candidate of every other row, rows that repeat an id among them, and
+each row where ``queries`` holds has a list of its own; only vectors of equal
+length are compared (an empty vector has score 0 with empty ones);
 components and scores beyond the 64-bit range saturate; an empty table gives
 an empty result.  Other columns of the input are ignored.
 """
@@ -28,7 +29,7 @@ from .vectors import matrix, usable
 
 FAN_IN = 16
 _MAX = (1 << 63) - 1
-_TILE = "query_id long, node long, top array<struct<neg:long,vec_id:long>>"
+_TILE = "row long, query_id long, node long, top array<struct<neg:long,vec_id:long>>"
 
 
 def _keys(q: np.ndarray, c: np.ndarray) -> np.ndarray | None:
@@ -48,32 +49,34 @@ def _keys(q: np.ndarray, c: np.ndarray) -> np.ndarray | None:
     return s
 
 
-def _tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int,
+def _tile_top(qrow: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int,
               rows: int = 512, cols: int = 8192):
-    """Per query the k best (score, id) of the tile, ties to the smaller id."""
+    """Per query row the k best (score, id) of the tile but its own row, ties to the smaller id."""
     order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
-    for lo in range(0, len(qid), rows):
-        ids, block = qid[lo:lo + rows], q[lo:lo + rows]
+    crow, cid, c = crow[order], cid[order], c[order]
+    for lo in range(0, len(qrow), rows):
+        ids, block = qrow[lo:lo + rows], q[lo:lo + rows]
         best: list[list[tuple[int, int]]] = [[] for _ in ids]
         for at in range(0, len(cid), cols):
-            part, pid = c[at:at + cols], cid[at:at + cols]
+            part, pid, prow = c[at:at + cols], cid[at:at + cols], crow[at:at + cols]
             n = len(pid)
+            by_row = np.argsort(prow)
+            own = by_row[np.minimum(np.searchsorted(prow, ids, sorter=by_row), n - 1)]
+            mine = prow[own] == ids
             keys = _keys(block, part)
             if keys is None:
                 for i, row in enumerate(block.astype(object) @ part.astype(object).T):
                     best[i] += [(max(-_MAX, min(_MAX, int(s))), int(p))
-                                for s, p in zip(row, pid) if p != ids[i]]
+                                for s, p, r in zip(row, pid, prow) if r != ids[i]]
             else:
-                own = np.searchsorted(pid, ids)
-                hit = np.flatnonzero((own < n) & (pid[np.minimum(own, n - 1)] == ids))
+                hit = np.flatnonzero(mine)
                 keys[hit, own[hit]] = np.finfo(float).min if keys.dtype.kind == "f" else -_MAX
                 m = min(k + 1, n)
                 pick = np.argpartition(keys, n - m, axis=1)[:, n - m:]
                 for i in range(len(ids)):
                     val = keys[i, pick[i]]
-                    if i in hit:
-                        val = np.delete(val, np.flatnonzero(pid[pick[i]] == ids[i]))
+                    if mine[i]:
+                        val = val[pick[i] != own[i]]
                     v = val.astype(np.int64)
                     best[i] += zip((v // n).tolist(), pid[n - 1 - v % n].tolist())
             for i, b in enumerate(best):
@@ -94,8 +97,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     ready = stash(
         vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("v"),
-                F.coalesce(queries, F.lit(False)).alias("q"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+                F.coalesce(queries, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row")),
+        "vectors")
     n = ready.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     shard = min(max_shard, max(1024, -(-n["n"] // (4 * cores))))
@@ -103,34 +106,37 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     groups = max(1, -(-n["q"] // max_group))
 
     def deal(salt, m):
-        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m))
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m))
     dim = F.size("v").alias("dim")
     cand = ready.select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"),
-                        deal(1, shards).alias("s"), F.lit(False).alias("is_q"), "vec_id", "v")
+                        deal(1, shards).alias("s"), F.lit(False).alias("is_q"), "row", "vec_id", "v")
     quer = ready.where("q").select(dim, deal(2, groups).alias("g"),
                                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"),
-                                   F.lit(True).alias("is_q"), "vec_id", "v")
+                                   F.lit(True).alias("is_q"), "row", "vec_id", "v")
 
     def tile(key, t):
         is_q = t["is_q"].to_numpy()
-        ids = t["vec_id"].to_numpy()
+        ids, rows = t["vec_id"].to_numpy(), t["row"].to_numpy()
         x = matrix(t["v"], np.int64)
-        out = {"query_id": [], "top": []}
+        out = {"row": [], "query_id": [], "top": []}
         if is_q.any() and not is_q.all():
-            for qid, best in _tile_top(ids[is_q], x[is_q], ids[~is_q], x[~is_q], k):
-                for i, b in zip(qid.tolist(), best):
+            name = dict(zip(rows[is_q].tolist(), ids[is_q].tolist()))
+            for at, best in _tile_top(rows[is_q], x[is_q], rows[~is_q], ids[~is_q], x[~is_q], k):
+                for i, b in zip(at.tolist(), best):
                     if b:
-                        out["query_id"].append(i)
+                        out["row"].append(i)
+                        out["query_id"].append(name[i])
                         out["top"].append([{"neg": -s, "vec_id": v} for s, v in b])
         top = pa.list_(pa.struct([("neg", pa.int64()), ("vec_id", pa.int64())]))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()),
+        return pa.table({"row": pa.array(out["row"], pa.int64()),
+                         "query_id": pa.array(out["query_id"], pa.int64()),
                          "node": pa.array([key[2].as_py()] * len(out["top"]), pa.int64()),
                          "top": pa.array(out["top"], top)})
 
     tops = cand.unionByName(quer).groupBy("dim", "g", "s").applyInArrow(tile, _TILE)
     while True:  # one pass per level of the merge tree; at least one orders the single list
         shards = -(-shards // FAN_IN)
-        tops = (tops.groupBy("query_id", F.floor(F.col("node") / FAN_IN).alias("node"))
+        tops = (tops.groupBy("row", "query_id", F.floor(F.col("node") / FAN_IN).alias("node"))
                 .agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")))
         if shards <= 1:
             break

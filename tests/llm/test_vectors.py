@@ -10,17 +10,16 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute_topk(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64.0 * float(np.float32(x)))) for x in v]
-            ok[i] = min(ok.get(i, q), q)
-    out = set()
-    for i, q in ok.items():
+    """Sorted rows of the result: every row is a candidate of every other row."""
+    ok = [(i, [int(np.floor(64.0 * float(np.float32(x)))) for x in v]) for i, v in rows
+          if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (i, q) in enumerate(ok):
         if i % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ok.items() if j != i and len(c) == len(q))
-            out |= {(i, r + 1, j, -n) for r, (n, j) in enumerate(s[:k])}
-    return out
+            s = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(ok)
+                       if a != b and len(c) == len(q))
+            out += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s[:k])]
+    return sorted(out)
 
 
 def test_topk_matches_brute_force(spark):
@@ -31,8 +30,14 @@ def test_topk_matches_brute_force(spark):
              (204, [1.0, 2.0]), (220, [1.0, 0.5]), (240, []), (241, []), (None, [1.0] * 8),
              (60, rows[60][1]), (60, [9.0] * 8)]                           # repeated ids
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).withColumn("query_id", F.lit("x"))
-    got = {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, k=5, max_shard=16, max_group=3).collect()}
-    assert got == brute_topk(rows, 5)
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, k=5, max_shard=16, max_group=3).collect()]
+    assert sorted(got) == brute_topk(rows, 5)
+
+
+def test_topk_keeps_every_vector_of_an_id(spark):
+    rows = [(2, [1.0, 0.0], 0), (2, [9.0, 1.0], 0), (20, [1.0, 0.0], 0)]
+    got = top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert [tuple(r) for r in got] == [(20, 1, 2, 36864), (20, 2, 2, 4096)]
 
 
 def test_topk_huge_components_and_empty_table(spark):
