@@ -283,3 +283,13 @@ def test_copies_belong_to_their_source(spark):
     sizes = {"a": 4, "b": 4 + 30 * 400}
     assert {(r.doc_id, r.source): r["count"] for r in got} == {
         (i, s): take[i, sizes[s]] for i, _, s in rows if take[i, sizes[s]]}
+
+
+def test_a_long_text_does_not_end_the_walk(spark):
+    """One text of 20,000 words among 3,000 of seven: its source still comes within seven words of its target."""
+    rows = [(0, "w " * 20000, "b")] + [(i, "a b c d e f g", "b") for i in range(1, 3001)]
+    rows += [(i, "x y z " * 20, "a") for i in range(4000, 8000)] + [(i, "v " * 9, "c") for i in range(8000, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = entropy_mix.mixed(docs).groupBy("source_size", "target").sum("taken").collect()
+    short = {240000: 60, 41000: 7, 9000: 9}  # the shortest text of the source
+    assert {size: abs(taken - target) <= short[size] for size, target, taken in got} == dict.fromkeys(short, True), got
