@@ -813,9 +813,10 @@ def enrich_csv_q(spark, sf):
 # --- registry --------------------------------------------------------------------------------
 
 def queries() -> dict[str, Query]:
-    from . import catalog_rows, catalog_space
+    from . import catalog_rows, catalog_runs, catalog_space
     return {
         **catalog_rows.queries(),
+        **catalog_runs.queries(),
         **catalog_space.queries(),
         "nearest_pair": nearest_pair_q,
         "nearest_unlimited": nearest_unlimited_q,
@@ -863,10 +864,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_rows, catalog_space
+    from . import catalog_rows, catalog_runs, catalog_space
     inp_proj = f"WITH {q.INP},\n" + INP_PROJ
     return {
         **catalog_rows.oracle_sql(),
+        **catalog_runs.oracle_sql(),
         **catalog_space.oracle_sql(),
         "nearest_pair": _nearest_sql(MAX_DISTANCE) + "\nSELECT id, cid, d FROM paired",
         "nearest_unlimited": _nearest_unlimited_sql(),

@@ -2,7 +2,8 @@
 
 CSV: ``;`` separated with a header, missing values written as
 ``brak_danych``; the accurate / inaccurate split is one write partitioned by
-a label column, so the data is scanned once.  Spatial layers are Parquet
+a label column.  A result is run and stored once, and all its outputs are
+written from the stored rows.  Spatial layers are Parquet
 with a ``geometry STRUCT<x, y>`` (x = file y, y = file x, as in the
 reference), a WKT column and EPSG codes.
 """
@@ -16,6 +17,7 @@ from ..functions.geometry import point_struct
 from ..functions.numeric import source_epsg
 from ..operators.accuracy import MISSING_TEXT, is_accurate
 from ..operators.axes import first_row_decision
+from .observed import result_counts, store_counted
 
 # Output base names and layer names per mode, and the split labels.
 BASE_NAMES = {"compare": "wynik", "thinned": "wynik_siatka", "enrich": "wynik_geoportal",
@@ -59,17 +61,19 @@ def _csv_writer(df: DataFrame):
 
 
 def write_csv(result: DataFrame, path: str, split_by_accuracy: bool = True,
-              flag: str = "osiaga_dokladnosc") -> None:
+              flag: str = "osiaga_dokladnosc") -> dict[str, int]:
     """All rows to ``path``; with a flag column also ``path_split/dokladnosc=...``.
 
-    Nothing is written for an empty result.  The plan runs once per output;
-    pass a checkpointed or stored result if it is costly.
+    The plan runs once: its rows are stored and counted, and both outputs are
+    written from the stored rows.  Nothing is written for an empty result.
+    Returns the counts of ``observed.result_counts``.
     """
-    if result.isEmpty():
-        return
-    _csv_writer(result).csv(path)
-    if split_by_accuracy and flag in result.columns:
-        _csv_writer(with_split_label(result, flag)).partitionBy("dokladnosc").csv(path + "_split")
+    stored, counts = store_counted(result, result_counts(result, flag))
+    if counts["n_rows"]:
+        _csv_writer(stored).csv(path)
+        if split_by_accuracy and flag in result.columns:
+            _csv_writer(with_split_label(stored, flag)).partitionBy("dokladnosc").csv(path + "_split")
+    return counts
 
 
 def enrich_for_csv(result: DataFrame) -> DataFrame:
@@ -105,8 +109,10 @@ def split_layer(layer: DataFrame) -> DataFrame:
 def write_layer(layer: DataFrame, path: str, split_by_accuracy: bool = True) -> None:
     """Parquet layer, and when flagged its accurate / inaccurate partitions.
 
-    An empty layer, or one whose zone is unknown, is not written.
+    An empty layer, or one whose zone is unknown, is not written.  The plan runs
+    once; both outputs are written from its stored rows.
     """
+    layer = layer.checkpoint()
     first = layer.select("epsg_layer").first()
     if first is None or first["epsg_layer"] is None:
         return
@@ -117,12 +123,7 @@ def write_layer(layer: DataFrame, path: str, split_by_accuracy: bool = True) ->
 
 def run_metrics(result: DataFrame) -> DataFrame:
     """One row of counts for a comparison result."""
-    flag = F.col("osiaga_dokladnosc")
-    paired = F.count("id_porownania") if "id_porownania" in result.columns else F.lit(0).cast("long")
-    return result.agg(F.count(F.lit(1)).alias("n_rows"), paired.alias("n_paired"),
-                      F.count(F.when(flag == "Tak", 1)).alias("n_accurate"),
-                      F.count(F.when(flag == "Nie", 1)).alias("n_inaccurate"),
-                      F.count(F.when(flag.isNull(), 1)).alias("n_unflagged"))
+    return result.agg(*result_counts(result))
 
 
 def input_metrics(points: DataFrame | None = None, scope: DataFrame | None = None,
