@@ -1,7 +1,8 @@
 """Packing documents into optimal length buckets (operator 2).
 
-The global histogram of lengths (bounded: exact below 1024 tokens, 512 cells
-per doubling above) goes to the driver, where dynamic programming chooses the
+The global histogram of lengths, one cell per length that occurs (k different
+lengths take at least k * k / 2 tokens, so the cells grow at most as the root
+of the corpus), goes to the driver, where dynamic programming chooses the
 bucket boundaries with the least padding; the cost of a bucket satisfies the
 quadrangle inequality, so each layer is solved by divide and conquer.  Inside
 a bucket the documents, in hash order, fill batches of
@@ -27,8 +28,6 @@ from levelling.operators.numbering import sequential_index
 from .store import stash
 from .tokens import n_words
 
-EXACT_BITS = 10  # lengths below 2**EXACT_BITS have a histogram cell each
-
 
 def best_boundaries(length: np.ndarray, count: np.ndarray, total: np.ndarray, k: int) -> list[int]:
     """Upper bounds of at most k buckets with the least padding.
@@ -81,12 +80,9 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16384, id_col: str = "
     length = n_words(F.col(text_col)) + 1 if length is None else length
     docs = stash(docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("n_tokens"),
                              F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")), "lengths")
-    spare = F.greatest(F.length(F.bin("n_tokens")) - EXACT_BITS, F.lit(0))
-    cells = docs.withColumn("s", spare).groupBy("s", F.expr("shiftright(n_tokens, s)").alias("cell"))
-    hist = sorted((r["top"], r["n"], r["total"]) for r in cells.agg(
-        F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"),
-        F.sum("n_tokens").alias("total")).collect())
-    size, count, total = (np.array([h[i] for h in hist], np.int64) for i in range(3))
+    hist = docs.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    size, count = hist["n_tokens"].to_numpy(), hist["n"].to_numpy()
+    total = size * count
     ends = best_boundaries(size, count, total, buckets)
     upper = np.searchsorted(size, ends, side="right")
     before = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], upper[:-1]])] if ends else [0]

@@ -57,6 +57,15 @@ def test_batches_hold_every_document_once_within_the_budget(spark):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_boundaries_are_optimal_for_long_texts(spark):
+    lengths = [1500, 1501, 1501, 1510, 1511, 2040, 2041, 2047, 2047, 20000, 20001, 7, 8]
+    docs = docs_of(spark, [(i, "x " * (n - 1), "s") for i, n in enumerate(lengths)])
+    for k in (3, 5):
+        got = packing.pack(docs, buckets=k, budget=30000).collect()
+        best = min(waste(lengths, (*c, 20001)) for c in itertools.combinations(sorted(set(lengths) - {20001}), k - 1))
+        assert sum(r.padding for r in got) == best and len({r.bucket for r in got}) == k
+
+
 # --- mixing ------------------------------------------------------------------
 
 def water(sizes, weights, share=1.0, cap=3.0):
