@@ -17,8 +17,8 @@ joined by ``components``.
 
 Defined results: a null, empty, all-zero or non-finite vector and a vector with a
 null id link with nothing (n_links 0; component_id is the id itself; kept is
-true unless the id is null); rows repeating an id are separate vectors; vectors
-of different lengths never link; an empty table gives an empty result; other
+true unless the id is null); rows repeating an id are separate vectors, each with
+links and a component of its own; vectors of different lengths never link; an empty table gives an empty result; other
 columns of the input are ignored.
 """
 
@@ -253,7 +253,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
                           F.when(ok, F.transform(F.col(vec_col), lambda x: x.cast("double"))).alias("vec"))
     classes = stash(rows.where("vec is not null").groupBy("vec")
-                    .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
+                    .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"))
+                    .withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers are stored with the rows
     classes = classes.withColumn("dim", F.size("vec"))
     total = {r["dim"]: r["n"] for r in
              classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
@@ -364,11 +365,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     found = stash(sent.groupBy("lo", "hi").applyInArrow(meet, _FOUND), "links")
     comp = components(found.select("u", "v"))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    known = (classes.select("vec", "rep", "m")
-             .join(links, F.col("rep") == F.col("u"), "left")
-             .join(comp, F.col("rep") == F.col("node"), "left")
-             .select("vec", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-                     F.coalesce("component", "rep").alias("component_id")))
+    known = stash(classes.select("vec", "rep", "first", "m")
+                  .join(links, F.col("rep") == F.col("u"), "left")
+                  .join(comp, F.col("rep") == F.col("node"), "left")
+                  .select("vec", "first", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
+                          F.coalesce("component", "rep").alias("component")), "known")
+    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = known.join(least, "component").select("vec", "n_links", "component_id")
     linked = rows.where("vec is not null").join(known, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                              F.col("vec_id").alias("component_id"))

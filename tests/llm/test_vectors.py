@@ -114,3 +114,10 @@ def test_radii_cover_light_jitter():
         tree = cover_tree.Tree(np.arange(600), np.ones(600, np.int64), exact, (np.arange(600) // 2 * 2)[None, :])
         radius = tree.levels[0][2]
         assert np.all(np.abs(radius - np.linalg.norm(exact[::2] - exact[1::2], axis=1)) < 1e-6)
+
+
+def test_vectors_that_share_an_id_stay_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (4, [0.01, 1.0]), (2, [-1.0, 0.0]), (9, [0.0, -1.0]),
+            (2, [0.0, 2.0]), (4, [0.01, 1.0])]
+    got = near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), 0.95).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_links(rows, 0.95)
