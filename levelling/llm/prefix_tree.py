@@ -5,7 +5,9 @@ text every ``<|`` gets a backslash (``<\\|``, one more if there are some), and
 a line feed or backslash in a role is escaped, so control strings cannot occur
 and the texts can be recovered.  The two marks are single tokens outside the
 vocabulary; the rest is encoded piece by piece with a byte-level BPE
-vocabulary, so equal turns always give equal tokens.
+vocabulary, so equal turns always give equal tokens.  A run of blanks or of
+other characters is cut every ``_RUN`` characters before that, since the
+pattern's matcher cannot take runs of millions.
 
 Conversations that begin with the same turns share those turns' tokens.  Each
 turn is named by the digest of its whole prefix; sorting conversations by
@@ -45,6 +47,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 # fixed value: the public splitting pattern of the byte-level vocabularies
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _DIGEST = 16
+_RUN = 4096  # blanks, or other characters, that the splitting pattern meets in one go
+_RUNS = re.compile(rf"\s{{1,{_RUN}}}|\S{{1,{_RUN}}}")
 
 
 def escape(text: str) -> str:
@@ -81,10 +85,14 @@ class Vocabulary:
             self.end = self.start + 1
         return self
 
+    def encode(self, text: str) -> list[int]:
+        cut = [m.end() for m in _RUNS.finditer(text) if m.end() - m.start() == _RUN] if len(text) > _RUN else []
+        return [i for a, b in zip([0, *cut], [*cut, len(text)]) for i in self.enc.encode_ordinary(text[a:b])]
+
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
         """Token ids of one turn and the range of its text among them."""
-        head = [self.start, *self.enc.encode_ordinary(escape_role(role) + "\n")]
-        body = self.enc.encode_ordinary(escape(text))
+        head = [self.start, *self.encode(escape_role(role) + "\n")]
+        body = self.encode(escape(text))
         return [*head, *body, self.end, *self.enc.encode_ordinary("\n")], len(head), len(head) + len(body)
 
     def text(self, ids) -> str:
