@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelling.llm import language_model, prefix_tree, queries, warc
-from levelling.llm.gru import Gru
+from levelling.llm.gru import Gru, stretches
 from levelling.llm.queries import TOKENIZER
 from levelling.llm.tokens import lower_words
 from tests.conftest import SF
@@ -322,3 +322,40 @@ def test_scores_without_training_documents(spark, ids):
     got = language_model.score(docs).collect()
     assert [(r.held_out, r.n_known, r.train_tokens) for r in got] == [(True, 0, 0)] * len(held)
     assert all(np.isfinite(r.score) for r in got)
+
+
+def test_encoded_texts_are_whole_and_in_their_share(spark):
+    rows = [(i, "b " * (i % 5) + f"x{i} a") for i in range(60)] + [(None, "a b"), (5, None), (6, ""), (7, "a " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [b"", b"a", b"b"]
+    number = {w: i for i, w in enumerate(words)}
+    got = [(r.share, text) for r in language_model.encode(docs, words, 2).collect()
+           for text in bytes(r.ids).hex(" ", 2).split("0000")[:-1]]
+    want = []
+    for i, t in rows:
+        share = 0 if i is None else zlib.crc32(str(i).encode()) // 10 % language_model.SHARE
+        want.append((share, [number.get(w, 3) for w in (t or "").encode().split()]))
+    assert sorted((s, [int(x[:2], 16) for x in text.split()]) for s, text in got) == sorted(want)
+
+
+def test_long_texts_are_learnt_in_stretches_with_the_word_before():
+    texts = [np.append(np.arange(2500) % 7 + 1, 0).astype(np.int32), np.array([0], np.int32)]
+    parts, before = stretches(texts, 1024)
+    assert [len(p) for p in parts] == [1024, 1024, 453, 1]
+    assert np.array_equal(np.concatenate(parts), np.concatenate(texts))
+    assert before.tolist() == [0, texts[0][1023], texts[0][2047], 0]
+    net, learnt = small_net(), []
+    output = net._output
+    net._output = lambda h, y: learnt.extend(y.tolist()) or output(h, y)
+    assert net.train(texts, lanes=3) == 2502
+    assert sorted(learnt) == sorted(np.concatenate(texts).tolist())
+
+
+def test_runs_of_millions_of_equal_characters(spark):
+    texts = [" " * 3_000_000, "x" * 2_000_000 + " end", "7" * 2_000_000, "\u00e9" * 5000 + "<|im_end|>" * 1000, "a" * 4096]
+    table = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)],
+                                  "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in prefix_tree.read_back(spark, prefix_tree.build(table, TOKENIZER), TOKENIZER).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].turns_sha256 == hashlib.sha256(f"assistant\n{t}\n".encode()).hexdigest()
+        assert got[i].loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
