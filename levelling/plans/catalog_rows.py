@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import inside_polygon
 from ..operators.grid import numbered_centres, polygon_vertices
 from ..operators.lookup import cm_text, join_heights, parse_response
 from ..operators.pairing import PairColumns, nearest_pair
+from ..operators.polygons import points_in_ring
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from . import catalog as base
@@ -183,13 +183,12 @@ def _ring_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points_in_large_ring_q(spark: SparkSession, sf: str) -> DataFrame:
-    ring = polygon_vertices(_ring_rows(spark, sf))
     top = fx.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]  # one number
     k = F.col("o_orderkey")
     pts = fx.table(spark, sf, "orders").select(
         k.alias("k"), (F.lit(5900000.0) + fx._hundredths((k * 7919) % F.lit(top)) + F.lit(0.005)).alias("x"),
         (F.lit(7400000.0) + fx._hundredths((k * 104729) % 20000) + F.lit(0.003)).alias("y"))
-    return pts.select("k", inside_polygon("x", "y", ring).alias("inside"))
+    return points_in_ring(pts, _ring_rows(spark, sf)).select("k", "inside")
 
 
 def _edges_sql(ring: str) -> str:
