@@ -43,5 +43,7 @@ def reject_lines(lines: DataFrame, *, has_height: bool = True, sep: str = "auto"
     rows = rows.withColumn("line", line).withColumn("column", F.when(F.col("line").isNull(), bad_column))
     reason = F.coalesce("line", F.when(F.col("column").isNotNull(), F.when(absent, "missing value")
                                        .otherwise("not a number")))
-    return rows.withColumn("reason", reason).where("reason is not null").select(
-        "source_file", "line_no", "column", "reason", "value")
+    # a generated row keeps the filter above: below, it would split the line again for every cell it asks for
+    found = F.struct("column", reason.alias("reason"))
+    return (rows.select("source_file", "line_no", F.explode_outer(F.array(found)).alias("__r"), "value")
+            .where("__r.reason is not null").select("source_file", "line_no", "__r.column", "__r.reason", "value"))

@@ -16,3 +16,11 @@ def test_every_line_is_a_good_row_or_has_a_reason(spark):
                    ("d", 2): ("h", "not a number")}
     assert parse_points(lines, on_bad="quarantine").count() + len(got) == len(rows)
     assert reject_lines(lines.limit(0)).collect() == []
+
+
+def test_no_line_is_split_in_a_filter(spark):
+    """A filter on the reason would repeat the splitting of a line for every cell it asks for."""
+    lines = spark.createDataFrame([("a", 1, "1;5;6;7"), ("a", 2, "2;5;six;7")], LINES)
+    plan = reject_lines(lines)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("split(" in p for p in plan)
+    assert not [p for p in plan if "Filter" in p and "split(" in p]
