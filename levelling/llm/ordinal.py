@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
     for step in range(1, STEPS + 1):
         state = spark.sparkContext.broadcast((w, raw))
         g, gt = _total(held.mapInArrow(partial(state), _SUMS))
-        state.unpersist()
+        state.destroy()
         grads = [g / n + L2 * w, gt / n]
         rate = RATE * 0.5 * (1 + np.cos(np.pi * (step - 1) / STEPS))
         for x, g, m, v, pace in ((w, grads[0], state_w[0], state_v[0], 1.0),
@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top: in
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             x -= pace * rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-6)
+    scale_shared.destroy()
     return Model(w * scale, raw)
 
 

@@ -302,3 +302,20 @@ def test_a_long_text_does_not_end_the_walk(spark):
     got = entropy_mix.mixed(docs).groupBy("source_size", "target").sum("taken").collect()
     short = {240000: 60, 41000: 7, 9000: 9}  # the shortest text of the source
     assert {size: abs(taken - target) <= short[size] for size, target, taken in got} == dict.fromkeys(short, True), got
+
+
+def test_mix_passes_over_all_documents_are_few(spark, monkeypatch):
+    """A step of Newton's method or of the walk reads sums of sources or the documents that still fit, not all."""
+    seen = {"units": 0, "strata": 0}
+    stash = entropy_mix.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        if name in ("units", "strata", "fitting"):
+            seen.setdefault(name, 0)
+            seen[name] = max(seen[name], out.count())
+        return out
+    monkeypatch.setattr(entropy_mix, "stash", counted)
+    docs = docs_of(spark, [(i, "w " * (1 + i * i % 97), "abc"[i % 3]) for i in range(900)])
+    assert entropy_mix.mixed(docs).where("copies > 0").count() > 0
+    assert seen["units"] == 900 and seen["strata"] == 3 and seen["fitting"] < 900
