@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, inside_polygon
-from .numbering import sequential_index
+from .numbering import index_in_place
 
 
 @dataclass(frozen=True)
@@ -100,17 +100,25 @@ def grid_for(vertices: Sequence[tuple[float, float]], spacing: float) -> HexGrid
     return HexGrid(min(xs), min(ys), max(xs), max(ys), float(spacing))
 
 
-def _lattice_points(spark: SparkSession, lat: Lattice, parity: int, partitions: int) -> DataFrame:
-    n = lat.n_rows * lat.n_cols
-    if n == 0:
+def _lattice_points(spark: SparkSession, g: HexGrid, partitions: int) -> DataFrame:
+    """All centres of the grid, partitions and rows in (r, c) order."""
+    even, odd = g.lattice(False), g.lattice(True)
+    first, second = (lat.n_cols if lat.n_rows else 0 for lat in (even, odd))
+    both = first + second        # centres of an even row and the odd row after it
+    if both == 0:
         return spark.createDataFrame([], "r long, c long, x double, y double")
     i = F.col("id")
-    m = F.floor(i / F.lit(lat.n_cols))
-    c = i - m * F.lit(lat.n_cols)
-    return spark.range(0, n, numPartitions=partitions).select(
-        (m * 2 + parity).alias("r"), c.alias("c"),
-        (F.lit(lat.x0) + c.cast("double") * F.lit(lat.x_step)).alias("x"),
-        (F.lit(lat.y0) + m.cast("double") * F.lit(lat.y_step)).alias("y"))
+    m = F.floor(i / F.lit(both))
+    is_odd = i - m * F.lit(both) >= first
+
+    def of(field: str) -> Column:
+        return F.when(F.col("odd"), F.lit(getattr(odd, field))).otherwise(F.lit(getattr(even, field)))
+    return (spark.range(0, max(even.n_rows, odd.n_rows) * both, numPartitions=partitions)
+            .select(m.alias("m"), is_odd.alias("odd"), (i - m * F.lit(both) - F.when(is_odd, first).otherwise(0)).alias("c"))
+            .where(F.col("m") < of("n_rows"))
+            .select((F.col("m") * 2 + F.col("odd").cast("int")).alias("r"), "c",
+                    (of("x0") + F.col("c").cast("double") * of("x_step")).alias("x"),
+                    (of("y0") + F.col("m").cast("double") * of("y_step")).alias("y")))
 
 
 def hex_centres(spark: SparkSession, vertices: Sequence[tuple[float, float]], spacing: float,
@@ -118,18 +126,18 @@ def hex_centres(spark: SparkSession, vertices: Sequence[tuple[float, float]], sp
     """Centres (r, c, x, y) of the hexagonal grid; by default only those inside the polygon."""
     g = grid_for(vertices, spacing)
     parts = max(spark.sparkContext.defaultParallelism, g.candidate_count // rows_per_partition + 1)
-    pts = _lattice_points(spark, g.lattice(False), 0, parts).unionByName(
-        _lattice_points(spark, g.lattice(True), 1, parts))
+    pts = _lattice_points(spark, g, parts)
     if inside_only:
-        pts = pts.where(inside_polygon("x", "y", vertices))
+        # a generated row: a filter on plain columns would work out x and y again for every edge
+        pts = (pts.select("r", "c", F.explode(F.array(F.struct("x", "y"))).alias("p")).select("r", "c", "p.x", "p.y")
+               .where(inside_polygon("x", "y", vertices)))
     return pts
 
 
 def numbered_centres(spark: SparkSession, vertices: Sequence[tuple[float, float]], spacing: float,
                      prefix: str = "P") -> DataFrame:
     """Centres inside the polygon numbered ``{prefix}_{i}`` in (y, x) order: id, x, y, r, c."""
-    c = hex_centres(spark, vertices, spacing)
-    c = sequential_index(c, ["r", "c"], out="seq_no")
+    c = index_in_place(hex_centres(spark, vertices, spacing), out="seq_no")  # they come in (r, c) order
     return c.select(F.concat(F.lit(f"{prefix}_"), F.col("seq_no").cast("string")).alias("id"),
                     "x", "y", "r", "c", "seq_no")
 
