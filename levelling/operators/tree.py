@@ -7,11 +7,14 @@ row of an index table holds a bounded array: a leaf its points, a node the
 numbers and boxes of its children.
 
 ``descend`` searches it in two passes of equi-joins on the node number.  The
-first follows the row's own Morton code (clipped to the box of the points) from
-the root to one leaf; the best point there, and the boxes beside the leaf,
-bound the distance.  The second visits all nodes whose box may hold something
-closer.  A row so meets the few leaves that can hold its answer, wherever it
-lies; nothing is grouped between the levels.  Node tables are broadcast while
+first follows the closest child (of equally close ones that of the row's own
+Morton code, clipped to the box of the points) from the root to one leaf; the
+best point there, and the boxes beside the leaf, bound the distance.  For a row
+far from all points that is a leaf on the side that faces it: its own code alone
+would lead to any leaf there, and all along that side would stay in question.
+The second visits all nodes whose box may hold something closer.  A row so meets
+the few leaves that can hold its answer, wherever it lies; nothing is grouped
+between the levels.  Node tables are broadcast while
 they take at most ``BROADCAST_NODE_BYTES`` (known from the number of points);
 larger ones are joined by a shuffle, whose skewed partitions Spark splits.
 
@@ -140,16 +143,21 @@ def descend(tree: Tree, rows: DataFrame, x: str, y: str, fields: Sequence[str],
     cols = [x, y, *keep]
     down = list(zip(reversed(tree.levels), reversed(tree.widths)))
 
-    def own_kid(met: DataFrame, kids: Column) -> DataFrame:
+    def first_kid(met: DataFrame, kids: Column) -> DataFrame:
+        code, own = F.col("__code"), F.col("own")
         sure = F.array_min(F.transform(kids, lambda k: certain_distance(px, py, k))).alias("__sure")
-        return (met.select(*cols, "__code", sure, F.explode(kids).alias("k"))
-                .where((F.col("__code") >= F.col("k.lo")) & (F.col("__code") < F.col("k.hi")))
-                .select(*cols, "__code", "__sure", F.col("k.no").alias("__node")))
+        held = [F.col("kids")] if "kids" in met.columns else []  # the root's children are a literal
+        nearest = F.array_min(F.transform(kids, lambda k: F.struct(
+            box_distance(px, py, k).alias("d"), ((code < k["lo"]) | (code >= k["hi"])).alias("other"), k["no"].alias("no"))))
+        return (met.select(*cols, "__code", sure, *held, F.explode(
+            F.filter(kids, lambda k: (code >= k["lo"]) & (code < k["hi"]))).alias("own"))
+            .select(*cols, "__code", "__sure", F.coalesce(F.when(box_distance(px, py, own) > 0, nearest["no"]),
+                                                          own["no"], F.lit(-1)).alias("__node")))
     # a fixed number of partitions: the rows are few bytes each, but many steps of work
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), x, y)
-    near = own_kid(with_morton(rows, x, y, tree.box, "__code"), tree.root)
+    near = first_kid(with_morton(rows, x, y, tree.box, "__code").repartition(
+        int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), x, y), tree.root)
     for nodes, width in down:
-        near = own_kid(_join(near, nodes, width * FAN * _CHILD_BYTES), F.col("kids"))
+        near = first_kid(_join(near, nodes, width * FAN * _CHILD_BYTES), F.col("kids"))
     found = _join(near, tree.leaves, tree.leaf_bytes).select(
         *cols, F.least("__sure", closest(F.col("pts"), px, py, fields)["d"]).alias("__bound"),
         F.size("pts").alias("__first"))
