@@ -35,13 +35,19 @@ def _hundredths(expr):
     return expr.cast("double") / F.lit(100.0)
 
 
+def _scattered(k, a: int, b: int):
+    """``(k * k * a + k * b) % 199999``; large keys by their remainder, which gives the same where a long held the product."""
+    r = F.when(k.between(-10_000_000, 10_000_000), k).otherwise(F.pmod(k, F.lit(199999)))
+    return (r * r * a + r * b) % 199999
+
+
 def inp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input points (zone 7), columns id, x, y, h, k."""
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("P_"), k.cast("string")).alias("id"),
-        (F.lit(5900000.0) + _hundredths((k * k * 7919 + k * 104729) % 199999)).alias("x"),
-        (F.lit(7400000.0) + _hundredths((k * k * 15485 + k * 611953) % 199999)).alias("y"),
+        (F.lit(5900000.0) + _hundredths(_scattered(k, 7919, 104729))).alias("x"),
+        (F.lit(7400000.0) + _hundredths(_scattered(k, 15485, 611953))).alias("y"),
         (F.lit(100.0) + _hundredths((k * 31) % 5000)).alias("h"),
         k.alias("k"),
     )
