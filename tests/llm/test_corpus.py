@@ -319,3 +319,22 @@ def test_mix_passes_over_all_documents_are_few(spark, monkeypatch):
     docs = docs_of(spark, [(i, "w " * (1 + i * i % 97), "abc"[i % 3]) for i in range(900)])
     assert entropy_mix.mixed(docs).where("copies > 0").count() > 0
     assert seen["units"] == 900 and seen["strata"] == 3 and seen["fitting"] < 900
+
+
+def test_single_documents_of_the_mix_are_one_step(spark, monkeypatch):
+    """Every table that the mix writes is jobs and plans on the driver: 67 of them here when each single was a step."""
+    written, stash = [], entropy_mix.stash
+    monkeypatch.setattr(entropy_mix, "stash", lambda df, name: written.append(name) or stash(df, name))
+    rng = random.Random(1)
+    names = ["a", "b", None, "c", "d", "e", "tiny"]
+    rows = [(i, "w " * rng.choice([1, 3, 10, 40, 41, 300, 1000]) + str(i), rng.choice(names)) for i in range(700)]
+    rows += [rows[3], rows[3], (None, None, "a"), (5, "", None)]
+    got = entropy_mix.mixed(docs_of(spark, rows)).collect()
+    assert len(written) <= 40, written
+    groups = {}
+    for r in got:
+        groups.setdefault((r.source_size, r.target), []).append(r)
+    for (_, target), part in groups.items():
+        lacks = target - sum(r.taken for r in part)
+        least = min(r.size for r in part if r.size)
+        assert abs(lacks) <= least, (target, lacks)
