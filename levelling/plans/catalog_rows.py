@@ -124,7 +124,7 @@ def scan_wide_files_q(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.delimited import read_points
     o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     k = F.col("k")
-    mx, my, mh = (k * k * 7919 + k * 104729) % 199999, (k * k * 15485 + k * 611953) % 199999, (k * 31) % 5000
+    mx, my, mh = fx._scattered(k, 7919, 104729), fx._scattered(k, 15485, 611953), (k * 31) % 5000
     row = [F.concat(F.lit("P_"), k.cast("string")), base._txt(5900000, mx), base._txt(7400000, my),
            base._txt(100, mh)]
     wide = F.concat_ws(";", *row, *[F.lit("")] * (WIDE - 5), k.cast("string"))
